@@ -195,60 +195,72 @@ def bundles(
     return good.orderBy(*order).limit(top_n).withColumn("id", F.row_number().over(W.orderBy(*order)))
 
 
-def applicable_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every (transaction, rule) whose antecedent the transaction's basket holds.
+def _by_probe(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules with ``probe``: the product of the antecedent that is bought least."""
+    rarest = (
+        rules.select("antecedent", F.explode("antecedent").alias("product_id")).distinct()
+        .join(item_support(lines), "product_id", "left")
+        .groupBy("antecedent").agg(F.min(F.struct(F.coalesce("support_count", F.lit(0)), "product_id")).alias("m"))
+        .select("antecedent", F.col("m.product_id").alias("probe"))
+    )
+    return rules.join(rarest, "antecedent")
 
-    The basket is reduced to products that occur in rules, which bounds it by their number. A
-    rule is looked up by one product of its antecedent, the one that is bought least, and the
-    rest is checked in place: one equi-join, no basket is paired with all rules.
-    """
-    rules = rules.select("antecedent", "consequent", "support", "confidence", "lift")
+
+def _useful_baskets(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Baskets reduced to products that occur in rules, which bounds them by their number."""
     used = rules.select(F.explode(F.concat("antecedent", "consequent")).alias("product_id")).distinct()
-    useful = (
+    return (
         lines.select("transaction_id", "product_id")
         .join(used, "product_id", "left_semi")
         .groupBy("transaction_id").agg(F.collect_set("product_id").alias("basket"))
     )
-    bought = item_support(lines)
-    rarest = (
-        rules.select("antecedent", F.explode("antecedent").alias("product_id")).distinct()
-        .join(bought, "product_id", "left")
-        .groupBy("antecedent").agg(F.min(F.struct(F.coalesce("support_count", F.lit(0)), "product_id")).alias("m"))
-        .select("antecedent", F.col("m.product_id").alias("probe"))
-    )
-    keyed = rules.join(rarest, "antecedent")
+
+
+def _held_by(baskets: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Join each basket with the rules whose antecedent it holds: one equi-join on the probe,
+    the rest of the antecedent is checked in place. No basket is paired with all rules."""
+    holds = (F.size("antecedent") == 1) | (F.size(F.array_except("antecedent", "basket")) == 0)
     return (
-        useful.select("transaction_id", "basket", F.explode("basket").alias("probe"))
-        .join(keyed, "probe")
-        .filter(F.size(F.array_except("antecedent", "basket")) == 0)
-        .drop("probe")
+        baskets.select("transaction_id", "basket", F.explode("basket").alias("probe"))
+        .join(keyed, "probe").filter(holds).drop("probe")
     )
 
 
+def applicable_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every (transaction, rule) whose antecedent the transaction's basket holds."""
+    rules = cut_lineage(rules.select("antecedent", "consequent", "support", "confidence", "lift"))
+    return _held_by(_useful_baskets(lines, rules), _by_probe(lines, rules))
+
+
 def rule_recommendations(lines: DataFrame, rules: DataFrame, top_n: int = 5) -> DataFrame:
     """For every basket the new products its rules point to, each by its best rule.
 
-    Best is most lift; ties go to more confidence, then to the antecedent first in order.
+    Best is most lift; ties go to more confidence, then to the smaller product, then to the
+    antecedent first in order. That order is numbered once on the rules, so that baskets only
+    compare whole numbers.
     """
-    candidates = applicable_rules(lines, rules).select(
-        "transaction_id", "antecedent", "confidence", "lift",
-        F.explode(F.array_except("consequent", "basket")).alias("product_id"),
+    rules = cut_lineage(rules.select("antecedent", "consequent", "confidence", "lift"))
+    offers = (
+        rules.select(
+            "antecedent", F.explode("consequent").alias("product_id"),
+            F.round("lift", 12).alias("score"), F.round("confidence", 12).alias("confidence"),
+        )
+        .groupBy("antecedent", "product_id")
+        .agg(F.max(F.struct("score", "confidence")).alias("best"))
+        .select("antecedent", "product_id", "best.*")
+        .orderBy(F.desc("score"), F.desc("confidence"), "product_id", "antecedent")
+        .withColumn("place", F.monotonically_increasing_id())
     )
-    best = candidates.groupBy("transaction_id", "product_id").agg(
-        F.min(
-            F.struct(
-                (-F.round("lift", 12)).alias("l"), (-F.round("confidence", 12)).alias("c"), "antecedent"
-            )
-        ).alias("best")
+    offers = cut_lineage(offers)
+    keyed = _by_probe(lines, offers.select("antecedent", "product_id", "place"))
+    candidates = _held_by(_useful_baskets(lines, rules), keyed).filter(
+        ~F.array_contains("basket", F.col("product_id"))
     )
-    order = W.partitionBy("transaction_id").orderBy("best.l", "best.c", "product_id")
-    return (
-        best.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= top_n)
-        .select(
-            "transaction_id", "product_id", (-F.col("best.l")).alias("score"),
-            (-F.col("best.c")).alias("confidence"), F.col("best.antecedent").alias("antecedent"), "position",
-        )
+    best = candidates.groupBy("transaction_id", "product_id").agg(F.min("place").alias("place"))
+    order = W.partitionBy("transaction_id").orderBy("place")
+    top = best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top_n)
+    return top.join(offers.drop("product_id"), "place").select(
+        "transaction_id", "product_id", "score", "confidence", "antecedent", "position"
     )
 
 

@@ -40,14 +40,19 @@ def _cells(df: DataFrame, item: str, width: int, depth: int, seed: int) -> Colum
     ]))
 
 
+def cells(df: DataFrame, item: str, weight: str, width: int, depth: int, seed: int) -> DataFrame:
+    """The cells (row, bucket) that each row adds its weight ``w`` to."""
+    return df.select(F.col(weight).alias("w"), _cells(df, item, width, depth, seed).alias("cell"))
+
+
 def count_min(
     df: DataFrame, item: str = "product_id", weight: str = "quantity",
     width: int = 1000, depth: int = 5, seed: int = 42,
 ) -> DataFrame:
     """The sketch as (row, bucket, total). Never more than width * depth rows, combined before
     the shuffle. Sketches of parts add up: union them and sum again."""
-    cells = df.select(F.col(weight).alias("w"), _cells(df, item, width, depth, seed).alias("cell"))
-    return cells.groupBy("cell.row", "cell.bucket").agg(F.sum("w").alias("total"))
+    hits = cells(df, item, weight, width, depth, seed)
+    return hits.groupBy("cell.row", "cell.bucket").agg(F.sum("w").alias("total"))
 
 
 def merge_count_min(*sketches: DataFrame) -> DataFrame:

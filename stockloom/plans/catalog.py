@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stockloom.plans import sales_queries  # noqa: F401
+from stockloom.plans import graph_queries, mining_queries, sales_queries, series_queries, stream_queries  # noqa: F401
 from stockloom.plans.registry import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]

@@ -51,26 +51,20 @@ def recent_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ITEM_COLUMNS = """i.transaction_id, i.product_id, p.name AS product_name, i.quantity,
-  round(i.price_per_unit, 6) AS price_per_unit, round(i.quantity * i.price_per_unit, 2) AS total_price"""
-
-
-def _rounded_items(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "price_per_unit": F.round("price_per_unit", 6), "total_price": F.round("total_price", 2),
-    })
+  i.price_per_unit, i.quantity * i.price_per_unit AS total_price"""
 
 
 @query("transaction_items_view", f"""
 SELECT {_ITEM_COLUMNS} FROM items i JOIN products p USING (product_id)
 ORDER BY i.transaction_id, i.product_id, i.quantity, i.price_per_unit LIMIT 1000""")
 def transaction_items_view(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded_items(scans.transaction_items(open_retail(spark, folder)))
+    return scans.transaction_items(open_retail(spark, folder))
 
 
 @query("transaction_items_of", f"""
 SELECT {_ITEM_COLUMNS} FROM items i JOIN products p USING (product_id) WHERE i.transaction_id = 0""")
 def transaction_items_of(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded_items(scans.transaction_items(open_retail(spark, folder), 0))
+    return scans.transaction_items(open_retail(spark, folder), 0)
 
 
 @query("baskets", """
@@ -83,12 +77,10 @@ def baskets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("flat_fact", """
 SELECT transaction_id, strftime(transaction_date, '%Y-%m-%d') AS transaction_date, product_id, product_name,
-       category, quantity, round(price_per_unit, 6) AS price_per_unit, customer_id
+       category, quantity, price_per_unit, customer_id
 FROM sales""")
 def flat_fact(spark: SparkSession, folder: str) -> DataFrame:
-    return open_retail(spark, folder).sales().withColumns({
-        "transaction_date": text_day("transaction_date"), "price_per_unit": F.round("price_per_unit", 6),
-    })
+    return open_retail(spark, folder).sales().withColumn("transaction_date", text_day("transaction_date"))
 
 
 @query("nested_transactions", """

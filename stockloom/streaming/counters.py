@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stockloom.functions.dates import period_key
 from stockloom.operators import sketches
-from stockloom.operators.scans import flat_items
 from stockloom.operators.ticker import recent
 
 logger = logging.getLogger(__name__)
@@ -53,6 +52,12 @@ def start_totals(items: DataFrame, keys: dict[str, Column], folder: str, weight:
     return _start(grouped, "update", _write_batches(folder), folder)
 
 
+def start_count_min(items: DataFrame, folder: str, width: int = 1000, depth: int = 5, seed: int = 42) -> StreamingQuery:
+    """The Count-Min sketch as running sums of its cells: at most width * depth keys of state."""
+    cells = sketches.cells(items, "product_id", "quantity", width, depth, seed)
+    return start_totals(cells, {"row": F.col("cell.row"), "bucket": F.col("cell.bucket")}, folder, F.col("w"))
+
+
 def start_period_totals(items: DataFrame, period: str, folder: str) -> StreamingQuery:
     """Units per hour or day and product. Rows later than the retention are dropped; the mark
     moves on after a batch, so a row is kept at least that long."""
@@ -132,7 +137,3 @@ def start_callback(transactions: DataFrame, callback: Callable[[DataFrame], None
 def run(query: StreamingQuery) -> None:
     """Wait until the query has read all there is."""
     query.awaitTermination()
-
-
-def product_stream(transactions: DataFrame) -> DataFrame:
-    return flat_items(transactions)
