@@ -229,7 +229,7 @@ def _held_by(baskets: DataFrame, keyed: DataFrame) -> DataFrame:
 def applicable_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (transaction, rule) whose antecedent the transaction's basket holds."""
     rules = cut_lineage(rules.select("antecedent", "consequent", "support", "confidence", "lift"))
-    return _held_by(_useful_baskets(lines, rules), _by_probe(lines, rules))
+    return _held_by(_useful_baskets(lines, rules), cut_lineage(_by_probe(lines, rules)))
 
 
 def rule_recommendations(lines: DataFrame, rules: DataFrame, top_n: int = 5) -> DataFrame:
@@ -252,7 +252,7 @@ def rule_recommendations(lines: DataFrame, rules: DataFrame, top_n: int = 5) ->
         .withColumn("place", F.monotonically_increasing_id())
     )
     offers = cut_lineage(offers)
-    keyed = _by_probe(lines, offers.select("antecedent", "product_id", "place"))
+    keyed = cut_lineage(_by_probe(lines, offers.select("antecedent", "product_id", "place")))
     candidates = _held_by(_useful_baskets(lines, rules), keyed).filter(
         ~F.array_contains("basket", F.col("product_id"))
     )

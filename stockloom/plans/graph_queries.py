@@ -164,10 +164,9 @@ def content_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("content_recs", f"""WITH {_CONTENT}
-SELECT product_id, other_id, round(similarity, 8) AS similarity, CAST(position AS INTEGER) AS position FROM content WHERE position <= {TOP}""")
+SELECT product_id, other_id, similarity, CAST(position AS INTEGER) AS position FROM content WHERE position <= {TOP}""")
 def content_recs(spark: SparkSession, folder: str) -> DataFrame:
-    found = similarity.content_recommendations(open_retail(spark, folder).products, TOP)
-    return found.withColumn("similarity", F.round("similarity", 8))
+    return similarity.content_recommendations(open_retail(spark, folder).products, TOP)
 
 
 @query("hybrid_recs", f"""WITH {_COLLAB},
@@ -180,15 +179,15 @@ both_sides AS (
 mixed AS (SELECT *, collaborative_score * 0.7 + content_score * (1.0 - 0.7) AS hybrid_score FROM both_sides),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY for_product ORDER BY round(hybrid_score, 12) DESC, product_id) AS position FROM mixed)
-SELECT for_product, product_id, round(collaborative_score, 8) AS collaborative_score, round(content_score, 8) AS content_score,
-       round(hybrid_score, 8) AS hybrid_score, CAST(position AS INTEGER) AS position
+SELECT for_product, product_id, round(collaborative_score, 10) AS collaborative_score, content_score,
+       round(hybrid_score, 10) AS hybrid_score, CAST(position AS INTEGER) AS position
 FROM placed WHERE position <= {TOP}""")
 def hybrid_recs(spark: SparkSession, folder: str) -> DataFrame:
     retail, bought, ranks = ranked(spark, folder)
     collab = recommend.collaborative(bought.edges, ranks, 2 * TOP)
     content = similarity.content_recommendations(retail.products, 2 * TOP)
     found = recommend.hybrid(collab, content, TOP)
-    return found.withColumns({c: F.round(c, 8) for c in ("collaborative_score", "content_score", "hybrid_score")})
+    return found.withColumns({c: F.round(c, 10) for c in ("collaborative_score", "hybrid_score")})
 
 
 @query("basket_recs", f"""WITH {_COLLAB},
