@@ -74,9 +74,16 @@ def fit(train: DataFrame, trees: int = 100, depth: int = 10, min_leaf: int = 5,
         RandomForestRegressor(
             featuresCol="scaled", labelCol=TARGET, predictionCol="predicted", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed,
+            # Room for the statistics of more nodes at a time: fewer passes over the rows.
+            maxMemoryInMB=512,
         ),
     ]
-    return DemandModel(Pipeline(stages=steps).fit(train), features)
+    # The forest passes over the rows many times: lay them out once, on as many tasks as shuffles use.
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = train.repartition(tasks).persist()
+    pipeline = Pipeline(stages=steps).fit(laid_out)
+    laid_out.unpersist()
+    return DemandModel(pipeline, features)
 
 
 def regression_metrics(predictions: DataFrame) -> tuple[float, float]:

@@ -53,15 +53,21 @@ def promo_price(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     )
 
 
-def category_fallback(keys: DataFrame, products: DataFrame, sales: DataFrame) -> DataFrame:
-    """Category of each key: the product's own, else the one its sales carry, else Unknown."""
-    own = products.groupBy("product_id").agg(F.min("category").alias("own"))
-    sold = sales.groupBy("product_id").agg(F.min("category").alias("sold"))
-    return (
-        keys.join(own, "product_id", "left").join(sold, "product_id", "left")
-        .withColumn("category", category_or_default(F.coalesce("own", "sold")))
-        .drop("own", "sold")
-    )
+def category_fallback(keys: DataFrame, *sources: DataFrame | None) -> DataFrame:
+    """Category of each key: from the first source that knows it, else Unknown.
+
+    A source without a category column (or None) is passed over.
+    """
+    found = keys
+    names = []
+    for i, source in enumerate(sources):
+        if source is None or "category" not in source.columns:
+            continue
+        names.append(f"category_{i}")
+        known = source.groupBy("product_id").agg(F.min("category").alias(names[-1]))
+        found = found.join(known, "product_id", "left")
+    choice = F.coalesce(*[F.col(n) for n in names]) if names else F.lit(None).cast("string")
+    return found.withColumn("category", category_or_default(choice)).drop(*names)
 
 
 def one_hot(df: DataFrame, column: str, values: list[str], prefix: str = "category") -> DataFrame:

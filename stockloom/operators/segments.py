@@ -62,26 +62,31 @@ def _vectors(scaled_scores: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(scaled_scores)
 
 
-def _best_fit(vectors: DataFrame, k: int, seed: int, restarts: int, max_iter: int):
-    """The fit of least cost among restarts."""
-    fits = []
-    for restart in range(restarts):
-        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, initMode="k-means||").fit(vectors)
-        fits.append((model.summary.trainingCost, restart, model))
-    return min(fits, key=lambda f: f[:2])
+def _best_fits(vectors: DataFrame, ks: list[int], seed: int, restarts: int, parallel: int) -> dict[int, tuple]:
+    """Per k the fit of least cost among restarts: (cost, restart, model). Fits run side by side."""
+
+    def fit(task: tuple[int, int]) -> tuple:
+        k, restart = task
+        model = KMeans(k=k, seed=seed + restart, maxIter=300, initMode="k-means||").fit(vectors)
+        return k, (float(model.summary.trainingCost), restart, model)
+
+    best: dict[int, tuple] = {}
+    with ThreadPoolExecutor(parallel) as pool:
+        for k, found in pool.map(fit, [(k, r) for k in ks for r in range(restarts)]):
+            if k not in best or found[:2] < best[k][:2]:
+                best[k] = found
+    return best
 
 
 def elbow(
-    scaled_scores: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10, parallel: int = 4
+    scaled_scores: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10, parallel: int = 8
 ) -> DataFrame:
-    """Inertia for 1 to ``max_k`` clusters. Fits of different k run side by side."""
-    one = inertia_of_one(scaled_scores).first()["inertia"]
+    """Inertia for 1 to ``max_k`` clusters."""
     vectors = _vectors(scaled_scores).persist()
-    vectors.count()
-    with ThreadPoolExecutor(parallel) as pool:
-        costs = pool.map(lambda k: (k, float(_best_fit(vectors, k, seed, restarts, 300)[0])), range(2, max_k + 1))
-        rows = [(1, float(one)), *costs]
+    one = inertia_of_one(vectors).first()["inertia"]
+    fits = _best_fits(vectors, list(range(2, max_k + 1)), seed, restarts, parallel)
     vectors.unpersist()
+    rows = [(1, float(one)), *((k, fits[k][0]) for k in sorted(fits))]
     return scaled_scores.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
@@ -97,7 +102,7 @@ class Segmentation:
         return self.customers.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
 
 
-def segment(scores: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10) -> Segmentation:
+def segment(scores: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, parallel: int = 8) -> Segmentation:
     """K-means on scaled scores, best of several starts.
 
     Segments are numbered by the recency of their centre, so that numbers mean the same in
@@ -106,7 +111,7 @@ def segment(scores: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10) -
     scores = scores.persist()
     scaled_scores = scaled(scores).select("customer_id", *FEATURES)
     vectors = _vectors(scaled_scores).persist()
-    cost, _, model = _best_fit(vectors, k, seed, restarts, 300)
+    cost, _, model = _best_fits(vectors, [k], seed, restarts, parallel)[k]
     labels = model.transform(vectors).select("customer_id", "prediction")
     stats = scores.agg(
         *[F.avg(c) for c in FEATURES], *[F.stddev_pop(c) for c in FEATURES]

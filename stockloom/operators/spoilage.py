@@ -70,8 +70,7 @@ def spoilage_features(
     names = SPOILAGE_FEATURES if priced else SPOILAGE_FEATURES[:-1]
     rows = rows.na.fill(0, names)
     if categories is not None:
-        known = products if products is not None else sales.select("product_id", "category").limit(0)
-        kinds = category_fallback(rows.select("product_id"), known, sales)
+        kinds = category_fallback(rows.select("product_id"), products, sales)
         rows = one_hot(rows.join(kinds, "product_id"), "category", categories)
         names = names + [f"category_{c}" for c in sorted(categories)]
     return rows.select("product_id", *names)

@@ -31,9 +31,11 @@ def forecast_7d(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("forecast_low_stock")
 def forecast_low_stock(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers whose stock runs out within five days by the forest's forecast."""
-    _, inventory = brand_sales(spark, folder)
-    return stock.low_stock(inventory, forecast_7d(spark, folder), threshold_days=5)
+    """Suppliers whose stock, after all sales, runs out within five days by the forest's forecast."""
+    dated, inventory = brand_sales(spark, folder)
+    opening = inventory.withColumn("quantity", F.col("quantity") * 30)
+    left = stock.stock_after_sales(opening, dated)
+    return stock.low_stock(left, forecast_7d(spark, folder), threshold_days=5)
 
 
 def product_features(spark: SparkSession, folder: str) -> DataFrame:
