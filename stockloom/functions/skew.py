@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.session import cut_lineage
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks of a shuffle. Stated where a few bytes unfold to many rows, as the planner would
+    otherwise judge by the bytes and merge the tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def big_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     """Keys with more than ``max_rows`` rows and the number of parts each needs.
 
@@ -18,18 +24,20 @@ def big_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     return cut_lineage(big)
 
 
-def with_parts(df: DataFrame, key: str, spread: list[str], max_rows: int) -> DataFrame:
+def with_parts(df: DataFrame, key: str, spread: list[str], max_rows: int) -> tuple[DataFrame, bool]:
     """Add ``part``: 0 for a normal key; a big key's rows are spread over parts by ``spread``.
 
     Rows equal in ``spread`` stay together, and the rows of each (key, part) are near ``max_rows``.
+    Also tells whether any key was split.
     """
     big = big_keys(df, key, max_rows)
     if big.isEmpty():
-        return df.withColumn("part", F.lit(0).cast("long"))
+        return df.withColumn("part", F.lit(0).cast("long")), False
     part = F.pmod(F.xxhash64(*spread), F.col("parts"))
-    return (
+    split = (
         df.join(big, key, "left")
         .withColumn("part", F.coalesce(part, F.lit(0).cast("long")))
         .drop("parts")
         .repartition(key, "part")
     )
+    return split, True

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.clean import require_columns
 from stockloom.functions.dates import calendar_parts
+from stockloom.functions.skew import shuffle_tasks
 from stockloom.operators.sales import latest_row
 from stockloom.operators.timeseries import LAGS, ROLLING, chronological_split
 from stockloom.session import cut_lineage
@@ -79,8 +80,7 @@ def fit(train: DataFrame, trees: int = 100, depth: int = 10, min_leaf: int = 5,
         ),
     ]
     # The forest passes over the rows many times: lay them out once, on as many tasks as shuffles use.
-    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = train.repartition(tasks).persist()
+    laid_out = train.repartition(shuffle_tasks(train.sparkSession)).persist()
     pipeline = Pipeline(stages=steps).fit(laid_out)
     laid_out.unpersist()
     return DemandModel(pipeline, features)

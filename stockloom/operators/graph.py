@@ -54,16 +54,18 @@ def _pairs_of_big(lines: DataFrame) -> DataFrame:
     return left.join(right, ["transaction_id", "i", "j"]).filter("a < b").select("a", "b")
 
 
-def co_purchase_graph(items: DataFrame, max_basket: int = 1000) -> Graph:
+def co_purchase_graph(items: DataFrame, max_basket: int = 1000, store: bool = False) -> Graph:
     """Products bought together, weighted by the number of shared transactions.
 
     Nodes are the products of transactions with more than one line; two lines of one product
-    make a node without an edge.
+    make a node without an edge. ``store`` writes the graph out once, for jobs that walk it
+    many times.
     """
     pairs = pair_counts(items, max_basket)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(
         pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")
     )
+    edges = cut_lineage(edges) if store else edges
     # A product of a basket with another product has an edge. What is left are products whose
     # transaction holds several lines of nothing else.
     alone = (
@@ -75,13 +77,7 @@ def co_purchase_graph(items: DataFrame, max_basket: int = 1000) -> Graph:
         .filter((F.col("n") > 1) & (F.col("product_id") == F.col("last")))
     )
     nodes = edges.select(F.col("src").alias("product_id")).unionByName(alone.select("product_id")).distinct()
-    return Graph(nodes, edges)
-
-
-def stored(graph: Graph) -> Graph:
-    """The graph written out once, for jobs that walk it many times."""
-    edges = cut_lineage(graph.edges)
-    return Graph(cut_lineage(graph.nodes), edges)
+    return Graph(cut_lineage(nodes) if store else nodes, edges)
 
 
 def page_rank(
@@ -98,7 +94,7 @@ def page_rank(
     old rank along, so that nodes without a contribution stay and the change is known.
     """
     out = graph.edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
-    out = out.select("src", "total", F.ceil(F.col("n") / max_fan_out).alias("parts"))
+    out = cut_lineage(out.select("src", "total", F.ceil(F.col("n") / max_fan_out).alias("parts")))
     shares = (
         graph.edges.join(out, "src")
         .select(

@@ -6,6 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stockloom.functions.clean import name_or_default
+from stockloom.functions.skew import shuffle_tasks
 from stockloom.session import cut_lineage
 
 # A rule split walks the bits of a number; longer itemsets would give more rules than any use.
@@ -23,13 +24,12 @@ def support_threshold(n_baskets: int, min_support: float) -> int:
     return max(int(min_support * n_baskets), 1)
 
 
-def frequent_baskets(items: DataFrame, min_count: int) -> DataFrame:
-    """Baskets reduced to products that are frequent on their own.
+def frequent_baskets(lines: DataFrame, min_count: int) -> DataFrame:
+    """Distinct lines as baskets, reduced to products that are frequent on their own.
 
     No frequent itemset holds another product. It also bounds every basket: with an average
     of m lines per basket, at most m / min_support products can be frequent.
     """
-    lines = items.select("transaction_id", "product_id").distinct()
     frequent = (
         lines.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count).select("product_id")
@@ -46,13 +46,15 @@ def frequent_itemsets(items: DataFrame, min_support: float = 0.01, max_length: i
     Columns: items (sorted), k, support_count, n_baskets. Without a length limit FP-growth mines
     them all; with one, sets grow level by level and longer ones are never formed.
     """
-    n_baskets = items.select("transaction_id").distinct().count()
+    lines = items.select("transaction_id", "product_id").distinct().persist()
+    n_baskets = lines.select("transaction_id").distinct().count()
     min_count = support_threshold(n_baskets, min_support)
-    baskets = frequent_baskets(items, min_count)
+    baskets = frequent_baskets(lines, min_count)
     if max_length is None:
         sets = _fp_growth(baskets, min_count)
     else:
         sets = _level_wise(baskets, min_count, max_length)
+    lines.unpersist()
     return sets.select(
         "items", F.size("items").alias("k"), "support_count",
         F.lit(n_baskets).cast("long").alias("n_baskets"),
@@ -219,9 +221,11 @@ def _useful_baskets(lines: DataFrame, rules: DataFrame) -> DataFrame:
 def _held_by(baskets: DataFrame, keyed: DataFrame) -> DataFrame:
     """Join each basket with the rules whose antecedent it holds: one equi-join on the probe,
     the rest of the antecedent is checked in place. No basket is paired with all rules."""
+    tasks = shuffle_tasks(baskets.sparkSession)
     holds = (F.size("antecedent") == 1) | (F.size(F.array_except("antecedent", "basket")) == 0)
     return (
-        baskets.select("transaction_id", "basket", F.explode("basket").alias("probe"))
+        baskets.repartition(tasks, "transaction_id", "basket")
+        .select("transaction_id", "basket", F.explode("basket").alias("probe"))
         .join(keyed, "probe").filter(holds).drop("probe")
     )
 

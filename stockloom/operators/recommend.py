@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from stockloom.functions.skew import big_keys, shuffle_tasks
+from stockloom.functions.ties import tie_key
 from stockloom.operators.graph import with_product_info
 
-# Scores equal to this many places are ties and go to the smaller product id.
-PLACES = 12
-
 
 def _best(df: DataFrame, key: str, score: str, top_n: int) -> DataFrame:
-    order = W.partitionBy(key).orderBy(F.desc(F.round(score, PLACES)), "product_id")
-    return df.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top_n)
+    """The rows of greatest score per key; ties go to the smaller product id."""
+    order = W.partitionBy(key).orderBy(F.desc("tie_key"), "product_id")
+    return (
+        df.withColumn("tie_key", tie_key(F.col(score)))
+        .withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") <= top_n).drop("tie_key")
+    )
 
 
 def collaborative(edges: DataFrame, ranks: DataFrame, top_n: int = 5) -> DataFrame:
@@ -46,19 +50,29 @@ def hybrid(
     return _best(scored, "for_product", "hybrid_score", top_n)
 
 
-def for_baskets(lines: DataFrame, collab: DataFrame, top_n: int = 5) -> DataFrame:
+def for_baskets(lines: DataFrame, collab: DataFrame, top_n: int = 5, max_basket: int = 100_000) -> DataFrame:
     """Per basket the products with the greatest summed score over its items, its own left out.
 
-    Give ``collab`` 2 * top_n candidates per product. Own items travel in the same grouped sum
-    as a mark instead of an anti-join.
+    Give ``collab`` 2 * top_n candidates per product. Every line unfolds the offers of its
+    product and a mark of its own, so that one grouped sum replaces an anti-join. Lines are laid
+    out by transaction first: offers, ten times as many, then need no shuffle. Only with a
+    transaction too big for a task the sums are spread by product as well.
     """
-    held = lines.select("transaction_id", "product_id").distinct()
-    offers = held.withColumnRenamed("product_id", "for_product").join(
-        collab.select("for_product", "product_id", "score"), "for_product"
-    ).select("transaction_id", "product_id", "score", F.lit(False).alias("own"))
-    marks = held.select("transaction_id", "product_id", F.lit(0.0).alias("score"), F.lit(True).alias("own"))
+    held = lines.select("transaction_id", "product_id")
+    if big_keys(held, "transaction_id", max_basket).isEmpty():
+        held = held.repartition(shuffle_tasks(lines.sparkSession), "transaction_id")
+    offers = collab.groupBy("for_product").agg(
+        F.collect_list(F.struct("product_id", "score", F.lit(False).alias("own"))).alias("offers")
+    )
+    own = F.struct("product_id", F.lit(0.0).alias("score"), F.lit(True).alias("own"))
     scored = (
-        offers.unionByName(marks).groupBy("transaction_id", "product_id")
+        held.distinct()
+        .join(offers.withColumnRenamed("for_product", "product_id"), "product_id", "left")
+        .select(
+            "transaction_id",
+            F.inline(F.when(F.col("offers").isNull(), F.array(own)).otherwise(F.concat("offers", F.array(own)))),
+        )
+        .groupBy("transaction_id", "product_id")
         .agg(F.sum("score").alias("score"), F.max("own").alias("own"))
         .filter(~F.col("own")).drop("own")
     )

@@ -77,11 +77,8 @@ def baskets(items: DataFrame, max_rows: int = 100_000) -> DataFrame:
     ``part`` is 0, but for a transaction of more than ``max_rows`` lines: its set then comes as
     several disjoint parts, so that no row or task has to hold it whole.
     """
-    return (
-        with_parts(items.select("transaction_id", "product_id"), "transaction_id", ["product_id"], max_rows)
-        .groupBy("transaction_id", "part")
-        .agg(F.sort_array(F.collect_set("product_id")).alias("items"))
-    )
+    lines, _ = with_parts(items.select("transaction_id", "product_id"), "transaction_id", ["product_id"], max_rows)
+    return lines.groupBy("transaction_id", "part").agg(F.sort_array(F.collect_set("product_id")).alias("items"))
 
 
 def flat_items(transactions: DataFrame) -> DataFrame:
@@ -107,12 +104,14 @@ def nested_transactions(sales: DataFrame, max_rows: int = 100_000) -> DataFrame:
         line.append("promotion_applied")
     lines = sales.withColumnsRenamed({"price_per_unit": "price", "transaction_date": "timestamp"})
     lines = lines.withColumn("total", F.col("quantity") * F.col("price"))
-    lines = with_parts(lines, "transaction_id", line, max_rows)
+    lines, split = with_parts(lines, "transaction_id", line, max_rows)
     per_part = lines.groupBy("transaction_id", "customer_id", "timestamp", "part").agg(
         F.sort_array(F.collect_list(F.struct(*line))).alias("items"),
         F.sum("total").alias("part_total"),
         F.count(F.lit(1)).alias("part_items"),
     )
+    if not split:
+        return per_part.withColumnsRenamed({"part_total": "total", "part_items": "n_items"})
     whole = W.partitionBy("transaction_id")
     return per_part.select(
         "transaction_id", "customer_id", "timestamp", "part", "items",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockloom.functions.text import STOP_WORDS
 from stockloom.operators import graph, recommend, similarity
 from stockloom.plans.registry import query
+from stockloom.session import cut_lineage
 from stockloom.sources.tables import Retail, open_retail
 
 TOP = 5
@@ -82,7 +83,7 @@ content AS MATERIALIZED (
 
 def ranked(spark: SparkSession, folder: str) -> tuple[Retail, graph.Graph, DataFrame]:
     retail = open_retail(spark, folder)
-    bought = graph.stored(graph.co_purchase_graph(retail.items))
+    bought = graph.co_purchase_graph(retail.items, store=True)
     return retail, bought, graph.page_rank(bought)
 
 
@@ -200,7 +201,7 @@ placed AS (
 SELECT transaction_id, product_id, round(score, 10) AS score, CAST(position AS INTEGER) AS position FROM placed WHERE position <= {TOP}""")
 def basket_recs(spark: SparkSession, folder: str) -> DataFrame:
     retail, bought, ranks = ranked(spark, folder)
-    collab = recommend.collaborative(bought.edges, ranks, 2 * TOP)
+    collab = cut_lineage(recommend.collaborative(bought.edges, ranks, 2 * TOP))
     return recommend.for_baskets(retail.items, collab, TOP).withColumn("score", F.round("score", 10))
 
 

@@ -125,8 +125,8 @@ def test_big_baskets_come_in_parts(spark):
 
 def test_parts_keep_every_row(spark):
     items = lines(spark, [[1] * 50 + [2], [3]])
-    found = with_parts(items, "transaction_id", ["product_id"], 10)
-    assert found.count() == 52
+    found, split = with_parts(items, "transaction_id", ["product_id"], 10)
+    assert split and found.count() == 52
     assert found.filter("product_id = 1").select("part").distinct().count() == 1
 
 
