@@ -26,16 +26,34 @@ def rfm(sales: DataFrame) -> DataFrame:
     needed = ["customer_id", "transaction_id", "transaction_date", "quantity", "price_per_unit"]
     require_columns(sales, needed, "sales")
     sales = numbers_or_dropped(valid_timestamps(sales, "transaction_date"), ["quantity", "price_per_unit"])
-    sales = sales.na.drop(subset=["customer_id", "transaction_id"])
-    snapshot = sales.agg(F.max("transaction_date") + F.expr("INTERVAL 1 DAY")).scalar()
-    visits = sales.groupBy("customer_id", "transaction_id").agg(
+    visits = sales.na.drop(subset=["customer_id", "transaction_id"]).groupBy("customer_id", "transaction_id").agg(
         F.max("transaction_date").alias("last"),
         F.sum(F.col("quantity") * F.col("price_per_unit")).alias("spent"),
     )
-    return visits.groupBy("customer_id").agg(
-        days_between(F.max("last"), snapshot).alias("recency"),
-        F.count(F.lit(1)).alias("frequency"),
-        F.sum("spent").alias("monetary_value"),
+    return _fold_visits(visits)
+
+
+def rfm_of(items: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The same from lines and transactions: lines are summed before the join, which then sees
+    one row per transaction on either side, however many lines one holds."""
+    items = numbers_or_dropped(items, ["quantity", "price_per_unit"])
+    spent = items.groupBy("transaction_id").agg(F.sum(F.col("quantity") * F.col("price_per_unit")).alias("spent"))
+    dated = valid_timestamps(transactions, "transaction_date").na.drop(subset=["customer_id", "transaction_id"])
+    visits = spent.join(dated, "transaction_id").select(
+        "customer_id", F.col("transaction_date").alias("last"), "spent"
+    )
+    return _fold_visits(visits)
+
+
+def _fold_visits(visits: DataFrame) -> DataFrame:
+    """One row per customer. It is stored before the newest sale of all is asked for, so that
+    the lines are read once."""
+    per_customer = cut_lineage(visits.groupBy("customer_id").agg(
+        F.max("last").alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum("spent").alias("monetary_value"),
+    ))
+    snapshot = per_customer.agg(F.max("last") + F.expr("INTERVAL 1 DAY")).scalar()
+    return per_customer.select(
+        "customer_id", days_between(F.col("last"), snapshot).alias("recency"), "frequency", "monetary_value"
     )
 
 

@@ -11,35 +11,43 @@ from stockloom.functions.dates import calendar_parts
 from stockloom.operators.joins import one_hot
 from stockloom.operators.sales import daily_sales
 from stockloom.operators.stock import one_stock_row
+from stockloom.session import cut_lineage
 
 LAGS = (1, 2, 3, 7)
 ROLLING = (3, 7, 14)
 BASE_FEATURES = ["day_of_week", "day_of_month", "month", "current_inventory"]
 
 
-def product_day_grid(sales: DataFrame) -> DataFrame:
-    """Every sold product on every day between the first and the last sale of all.
+def product_day_grid(daily: DataFrame) -> DataFrame:
+    """Every product of the daily sales on every day between the first and the last of all.
 
-    Each product row unfolds the day range by itself, so nothing is crossed or shuffled.
+    Each product row unfolds the day range by itself, so nothing is crossed.
     """
-    span = sales.agg(
-        F.to_date(F.min("transaction_date")).alias("first"), F.to_date(F.max("transaction_date")).alias("last")
-    )
+    span = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     days = F.sequence(span.select("first").scalar(), span.select("last").scalar())
-    return sales.select("product_id").distinct().select("product_id", F.explode(days).alias("day"))
+    return daily.select("product_id").distinct().select("product_id", F.explode(days).alias("day"))
+
+
+def observed_days(sales: DataFrame) -> DataFrame:
+    """Units per product and day with a sale, cleaned and stored: much smaller than the sales,
+    which are then read once."""
+    require_columns(sales, {"transaction_date", "product_id", "quantity"}, "sales")
+    sales = whole_number_or_zero(valid_timestamps(sales, "transaction_date"), "quantity")
+    return cut_lineage(daily_sales(sales))
 
 
 def dense_daily(sales: DataFrame) -> DataFrame:
     """Units per product and day on the dense grid, 0 where nothing was sold.
 
-    Zero rows are appended and summed away instead of joined: one shuffle on (product, day),
-    summed before it on each side.
+    Zero rows are appended and summed away instead of joined. The rows are laid out by product,
+    each with the same number of days; that one shuffle also serves the windows that follow.
     """
-    require_columns(sales, {"transaction_date", "product_id", "quantity"}, "sales")
-    sales = whole_number_or_zero(valid_timestamps(sales, "transaction_date"), "quantity")
-    daily = daily_sales(sales)
-    zeros = product_day_grid(sales).withColumn("units", F.lit(0).cast("long"))
-    return daily.unionByName(zeros).groupBy("product_id", "day").agg(F.sum("units").alias("quantity"))
+    daily = observed_days(sales)
+    zeros = product_day_grid(daily).withColumn("units", F.lit(0).cast("long"))
+    return (
+        daily.unionByName(zeros).repartition("product_id")
+        .groupBy("product_id", "day").agg(F.sum("units").alias("quantity"))
+    )
 
 
 def with_lags(daily: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:

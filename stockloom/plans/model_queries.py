@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockloom.operators import forecast, segments, spoilage, stock
 from stockloom.plans import report
 from stockloom.plans.registry import query
-from stockloom.plans.sales_queries import CATEGORIES, sold_lines
+from stockloom.plans.sales_queries import CATEGORIES, customer_scores, sold_lines
 from stockloom.plans.series_queries import brand_sales, features, mean_demand
 from stockloom.session import cut_lineage
 from stockloom.sources.tables import open_retail
@@ -102,7 +102,7 @@ def inventory_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_lineage(segments.rfm(sold_lines(spark, folder)))
+    return cut_lineage(customer_scores(spark, folder))
 
 
 @query("elbow")

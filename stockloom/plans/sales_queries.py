@@ -405,15 +405,20 @@ rfm AS (
 
 
 def sold_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines with date and customer, without the product columns that customer scores do not need."""
+    """Lines with date and customer, without the product columns."""
     retail = open_retail(spark, folder)
     return retail.items.join(retail.transactions, "transaction_id")
 
 
+def customer_scores(spark: SparkSession, folder: str) -> DataFrame:
+    retail = open_retail(spark, folder)
+    return segments.rfm_of(retail.items, retail.transactions)
+
+
 @query("rfm", f"""WITH {_RFM_SQL.strip()}
 SELECT customer_id, recency, frequency, round(monetary_value, 2) AS monetary_value FROM rfm""")
 def rfm(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.rfm(sold_lines(spark, folder)).withColumn("monetary_value", F.round("monetary_value", 2))
+    return customer_scores(spark, folder).withColumn("monetary_value", F.round("monetary_value", 2))
 
 
 @query("rfm_scaled", f"""WITH {_RFM_SQL.strip()},
@@ -423,14 +428,14 @@ SELECT customer_id, round((recency - ar) / dr, 6) AS recency, round((frequency -
        round((monetary_value - am) / dm, 6) AS monetary_value
 FROM rfm, s""")
 def rfm_scaled(spark: SparkSession, folder: str) -> DataFrame:
-    found = segments.scaled(segments.rfm(sold_lines(spark, folder)))
+    found = segments.scaled(customer_scores(spark, folder))
     return found.select("customer_id", *[F.round(c, 6).alias(c) for c in segments.FEATURES])
 
 
 @query("elbow_one", f"""WITH {_RFM_SQL.strip()}
 SELECT 1 AS k, round(CAST(3 * count(*) AS DOUBLE), 4) AS inertia FROM rfm""")
 def elbow_one(spark: SparkSession, folder: str) -> DataFrame:
-    found = segments.inertia_of_one(segments.scaled(segments.rfm(sold_lines(spark, folder))))
+    found = segments.inertia_of_one(segments.scaled(customer_scores(spark, folder)))
     return found.withColumn("inertia", F.round("inertia", 4))
 
 

@@ -51,7 +51,8 @@ def rounded_means(df: DataFrame) -> DataFrame:
 @query("product_day_grid", f"WITH {_GRID.strip()} SELECT product_id, strftime(day, '%Y-%m-%d') AS day FROM grid")
 def product_day_grid(spark: SparkSession, folder: str) -> DataFrame:
     retail = open_retail(spark, folder).by_supplier()
-    return days_as_text(timeseries.product_day_grid(retail.items.join(retail.transactions, "transaction_id")))
+    daily = timeseries.observed_days(retail.items.join(retail.transactions, "transaction_id"))
+    return days_as_text(timeseries.product_day_grid(daily))
 
 
 @query("grid_left_join", f"WITH {_GRID.strip()} SELECT product_id, strftime(day, '%Y-%m-%d') AS day, quantity FROM daily")

@@ -362,7 +362,10 @@ def test_constant_target_scores(spark):
 
 
 def test_rfm_by_hand(spark, rows):
-    assert rows(segments.rfm(tiny_retail(spark).sales())) == [(7, 1, 2, 43.0), (8, 1, 1, 2.0)]
+    retail = tiny_retail(spark)
+    expected = [(7, 1, 2, 43.0), (8, 1, 1, 2.0)]
+    assert rows(segments.rfm(retail.sales())) == expected
+    assert rows(segments.rfm_of(retail.items, retail.transactions)) == expected
 
 
 def test_constant_score_scales_to_zero(spark):
