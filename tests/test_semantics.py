@@ -452,3 +452,19 @@ def test_spoilage_features_of_unsold_products_are_zero(spark):
     assert found[3]["sales_velocity"] == 0 and found[3]["inventory_age"] == 0 and found[3]["category_home"] == 1
     assert found[1]["sales_velocity"] == 1.5 and found[1]["inventory_turnover"] == 0.1
     assert found[1]["days_since_last_transaction"] == -1 and found[1]["inventory_age"] == 0
+
+
+def test_live_page_datasets(spark, rows):
+    items = events(spark, [(i, datetime(2024, 1, 1, 8 + i % 2, i), i % 3, "ab"[i % 2], 1) for i in range(12)])
+    panel = report.stream_panel(items, top_n=2, hours=2)
+    assert rows(panel.products, "product_id", "count") == [(0, 4), (1, 4)]
+    assert rows(panel.categories) == [("a", 6), ("b", 6)]
+    assert panel.hourly.agg(F.sum("units")).first()[0] == 12
+
+
+def test_period_series_of_some_categories_and_days(spark, rows):
+    sold = tiny_retail(spark).sales()
+    assert rows(sales.sales_by_period(sold, "day", categories=["home"])) == [("2024-01-02", "home", 4)]
+    assert {r["period"] for r in sales.sales_by_period(sold, "day", last_days=1).collect()} == {"2024-01-02"}
+    wide = sales.sales_pivot(sales.sales_by_period(sold, "month"), ["office", "home"])
+    assert wide.columns == ["period", "home", "office"] and rows(wide) == [("2024-01", 4, 4)]
