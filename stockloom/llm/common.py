@@ -62,3 +62,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, s
     )
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.drop("_salts").join(copies.drop(rows), [*keys, "_salt"], how).drop("_salt")
+
+
+def fresh(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """A column name that ``df`` doesn't use for each of ``names``."""
+    used, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        new = name
+        while new.lower() in used:
+            new = f"_{new}"
+        out[name] = new
+        used.add(new.lower())
+    return out
