@@ -1,19 +1,60 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Each stage works on all rows the one before kept. Texts that a stage cuts get their n_chars anew, if
+the table has it. The last stage returns packed pieces of token ids, not documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stockloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from stockloom.llm.common import table
 from stockloom.session import run_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: No stage of learned scores can be said in SQL; tests compare each stage with a plain version.
+def counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines of 50 words or more that occurred before go; a document left empty stays as an empty one."""
+    return counted(line_dedup.dedup_lines(docs, min_words=50)[0].select(*docs.columns))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return simhash.keep_one(docs, shingle=3, max_distance=2)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages go, and documents that are little else."""
+    return counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, max_coverage=0.8))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: the pieces of all documents and their places."""
+    return packing.pack(docs, size=1024, end_id=2)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("simhash", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: The first stage is a trained model, which SQL can't express; tests compare each stage with a plain version.
 ORACLE_SQL: str | None = None
 
 
