@@ -24,20 +24,26 @@ def big_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     return cut_lineage(big)
 
 
-def with_parts(df: DataFrame, key: str, spread: list[str], max_rows: int) -> tuple[DataFrame, bool]:
-    """Add ``part``: 0 for a normal key; a big key's rows are spread over parts by ``spread``.
+#: A key with more than this share of all rows is split, so at most 1000 keys are.
+HOT_SHARE = 0.001
 
-    Rows equal in ``spread`` stay together, and the rows of each (key, part) are near ``max_rows``.
-    Also tells whether any key was split.
+
+def hot_join(
+    left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame, spread: list[str], how: str = "inner",
+    merge: bool = False, share: float = HOT_SHARE,
+) -> DataFrame:
+    """Join ``left`` with ``right``, splitting the keys that many rows of ``left`` share.
+
+    ``sizes``: a stored table of the keys and ``n``, the rows of ``left`` with each. Keys above
+    ``share`` of all rows (1 / share at most, so that list is broadcast) are dealt over as many
+    salts as they exceed it, by a hash of the columns ``spread``; ``right`` repeats their rows for
+    each salt. Null keys match nothing. ``right`` is broadcast only where Spark finds it small;
+    with ``merge`` never, for sides that are about as many as ``left``. ``how``: inner or left.
     """
-    big = big_keys(df, key, max_rows)
-    if big.isEmpty():
-        return df.withColumn("part", F.lit(0).cast("long")), False
-    part = F.pmod(F.xxhash64(*spread), F.col("parts"))
-    split = (
-        df.join(big, key, "left")
-        .withColumn("part", F.coalesce(part, F.lit(0).cast("long")))
-        .drop("parts")
-        .repartition(key, "part")
-    )
-    return split, True
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    fair = max(1.0, total * share)
+    hot = sizes.filter(F.col("n") > fair).select(*keys, F.ceil(F.col("n") / fair).cast("int").alias("_salts"))
+    known = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), known.cast("long")).cast("int"))
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), known - 1))).drop("_salts")
+    return dealt.drop("_salts").join(copies.hint("merge") if merge else copies, [*keys, "_salt"], how).drop("_salt")

@@ -155,11 +155,11 @@ def page_rank(
     raise RuntimeError(f"PageRank did not converge in {max_iter} rounds")
 
 
-def with_product_info(df: DataFrame, products: DataFrame) -> DataFrame:
-    """Add name and category; unknown products get defaults."""
-    info = products.select("product_id", "name", "category")
-    return df.join(info, "product_id", "left").withColumns({
-        "name": name_or_default(F.col("name"), F.col("product_id")),
+def with_product_info(df: DataFrame, products: DataFrame, key: str = "product_id") -> DataFrame:
+    """Add name and category of the product in ``key``; unknown products get defaults."""
+    info = products.select(F.col("product_id").alias(key), "name", "category")
+    return df.join(info, key, "left").withColumns({
+        "name": name_or_default(F.col("name"), F.col(key)),
         "category": category_or_default(F.col("category")),
     })
 

@@ -35,21 +35,22 @@ def promo_price(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """Sales with the price a promotion gives within its time span.
 
     Where spans of one product overlap, the lowest factor counts once: the line is not repeated.
-    A product has few promotions, so its line carries them as a short array instead of a join
-    that would multiply lines.
+    The factor is found for each day on which a product sold and then joined to its lines, so a
+    product may have any number of promotions and of lines.
     """
-    spans = promotions.groupBy("product_id").agg(
-        F.collect_list(F.struct("start_time", "end_time", "discount_factor")).alias("spans")
-    )
+    sold = sales.select("product_id", "transaction_date").distinct()
     day = F.col("transaction_date")
-    active = F.filter("spans", lambda s: (s["start_time"] <= day) & (day <= s["end_time"]))
-    factor = F.array_min(F.transform(active, lambda s: s["discount_factor"]))
+    spans = promotions.select("product_id", "start_time", "end_time", "discount_factor")
+    factors = (
+        sold.join(spans, "product_id").filter((F.col("start_time") <= day) & (day <= F.col("end_time")))
+        .groupBy("product_id", "transaction_date").agg(F.min("discount_factor").alias("factor"))
+    )
     return (
-        sales.join(spans, "product_id", "left")
-        .withColumn("factor", factor)
+        sales.join(factors, ["product_id", "transaction_date"], "left")
+        .select(*sales.columns, "factor")
         .withColumn("price", F.col("price_per_unit") * F.coalesce("factor", F.lit(1.0)))
         .withColumn("promotion_applied", F.col("factor").isNotNull())
-        .drop("spans", "factor")
+        .drop("factor")
     )
 
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from stockloom.functions.clean import name_or_default
-from stockloom.functions.skew import shuffle_tasks
+from stockloom.functions.clean import category_or_default, name_or_default
+from stockloom.functions.skew import hot_join, shuffle_tasks
 from stockloom.session import cut_lineage
 
-# A rule split walks the bits of a number; longer itemsets would give more rules than any use.
-MAX_RULE_ITEMS = 20
-
 
 def item_support(items: DataFrame) -> DataFrame:
     """Number of transactions that hold each product."""
@@ -94,10 +91,11 @@ def _level_wise(baskets: DataFrame, min_count: int, max_length: int) -> DataFram
         grown = held.join(frequent.select("set"), "set", "left_semi").select(
             "transaction_id", "set", "later", F.explode("later").alias("item")
         )
-        held = grown.select(
+        # Stored, so that the next level doesn't repeat the levels before it.
+        held = cut_lineage(grown.select(
             "transaction_id", F.concat("set", F.array("item")).alias("set"),
             F.filter("later", lambda x: x > F.col("item")).alias("later"),
-        )
+        ))
     everything = levels[0]
     for level in levels[1:]:
         everything = everything.unionByName(level)
@@ -107,37 +105,36 @@ def _level_wise(baskets: DataFrame, min_count: int, max_length: int) -> DataFram
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """All splits of every frequent itemset in two non-empty sides, at or above the confidence.
 
-    The counts of both sides are looked up among the itemsets: each part of a frequent set is
-    frequent itself, so it is there.
+    Consequents of an itemset grow by one item a round. Moving an item over to the consequent can
+    only lower the confidence, so a split that falls short is never grown, and each consequent
+    grows from its first items alone, so it is formed once. The counts of both sides are looked up
+    among the itemsets: each part of a frequent set is frequent itself, so it is there.
     """
-    longest = itemsets.agg(F.max("k")).first()[0] or 0
-    if longest > MAX_RULE_ITEMS:
-        raise ValueError(f"itemsets of {longest} items split into too many rules; set max_length")
     counts = itemsets.select(F.col("items").alias("side"), F.col("support_count").alias("side_count"))
-    in_mask = lambda want: F.filter(
-        "items", lambda x, i: F.getbit(F.col("mask"), i.cast("int")) == F.lit(want)
-    )
-    splits = (
-        itemsets.filter(F.col("k") > 1)
-        .withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, k) - 2"))))
-        .withColumn("antecedent", in_mask(1))
-        .withColumn("consequent", in_mask(0))
-    )
+    side = lambda name: counts.withColumnsRenamed({"side": name, "side_count": f"{name}_count"})
     n = F.col("n_baskets")
     confidence = F.col("support_count") / F.col("antecedent_count")
-    return (
-        splits
-        .join(counts.withColumnsRenamed({"side": "antecedent", "side_count": "antecedent_count"}), "antecedent")
-        .filter(confidence >= min_confidence)
-        .join(counts.withColumnsRenamed({"side": "consequent", "side_count": "consequent_count"}), "consequent")
-        .select(
-            "antecedent", "consequent",
-            (F.col("support_count") / n).alias("support"),
-            confidence.alias("confidence"),
-            (confidence / (F.col("consequent_count") / n)).alias("lift"),
-            (F.col("antecedent_count") / n).alias("antecedent_support"),
-            (F.col("consequent_count") / n).alias("consequent_support"),
-        )
+    columns = ["items", "support_count", "n_baskets", "consequent", "antecedent_count", "antecedent"]
+
+    def confident(splits: DataFrame) -> DataFrame:
+        sides = splits.withColumn("antecedent", F.array_except("items", "consequent"))
+        return cut_lineage(sides.join(side("antecedent"), "antecedent").filter(confidence >= min_confidence).select(columns))
+
+    longer = itemsets.filter(F.col("k") > 1)
+    level = confident(longer.withColumn("consequent", F.explode(F.transform("items", lambda x: F.array(x)))))
+    rules = level
+    while not level.isEmpty():
+        later = F.filter("items", lambda x: x > F.element_at("consequent", -1))
+        grown = level.filter(F.size("antecedent") > 1).select("items", "support_count", "n_baskets", "consequent", F.explode(later).alias("item"))
+        level = confident(grown.withColumn("consequent", F.concat("consequent", F.array("item"))).drop("item"))
+        rules = rules.unionByName(level)
+    return rules.join(side("consequent"), "consequent").select(
+        "antecedent", "consequent",
+        (F.col("support_count") / n).alias("support"),
+        confidence.alias("confidence"),
+        (confidence / (F.col("consequent_count") / n)).alias("lift"),
+        (F.col("antecedent_count") / n).alias("antecedent_support"),
+        (F.col("consequent_count") / n).alias("consequent_support"),
     )
 
 
@@ -146,20 +143,22 @@ def joined(array: str) -> Column:
     return F.array_join(F.col(array).cast("array<string>"), ",")
 
 
-def named(df: DataFrame, array: str, products: DataFrame, into: str) -> DataFrame:
-    """Add the names of an array of product ids, in the array's order; unknown ids get a default.
+def named(df: DataFrame, array: str, products: DataFrame, into: str, category_into: str | None = None) -> DataFrame:
+    """Add the names of an array of product ids, in the array's order, and if asked their categories;
+    unknown ids get defaults.
 
     Only the distinct arrays are unfolded, and an array is at most a basket's frequent products.
     """
     each = df.select(F.col(array).alias("ids")).distinct().select("ids", F.posexplode("ids").alias("pos", "product_id"))
-    names = (
-        each.join(products.select("product_id", "name"), "product_id", "left")
-        .withColumn("name", name_or_default(F.col("name"), F.col("product_id")))
+    info = products.select("product_id", "name", "category" if category_into else F.lit(None).alias("category"))
+    found = (
+        each.join(info, "product_id", "left")
+        .withColumns({"name": name_or_default(F.col("name"), F.col("product_id")), "category": category_or_default(F.col("category"))})
         .groupBy("ids")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("found"))
-        .select(F.col("ids").alias(array), F.col("found.name").alias(into))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "category"))).alias("found"))
+        .select(F.col("ids").alias(array), F.col("found.name").alias(into), *([F.col("found.category").alias(category_into)] if category_into else []))
     )
-    return df.join(names, array, "left")
+    return df.join(found, array, "left")
 
 
 def itemsets_named(itemsets: DataFrame, products: DataFrame) -> DataFrame:
@@ -173,6 +172,21 @@ def rules_sorted(rules: DataFrame, by: str = "lift") -> DataFrame:
     return rules.orderBy(F.desc(F.round(measure, 12)), "antecedent", "consequent")
 
 
+def rules_placed(rules: DataFrame, by: str = "lift") -> DataFrame:
+    """All rules with ``place``, their number in the order of ``rules_sorted``.
+
+    The order comes from a distributed sort. Its partitions are counted, and each adds the counts
+    of those before it, so no task numbers all rules.
+    """
+    ranked = cut_lineage(rules_sorted(rules, by).withColumns({
+        "part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+    }))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task of the sort
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ranked.join(F.broadcast(starts), "part").withColumn("place", F.col("place") + F.col("start") + 1).drop("part", "start")
+
+
 def rules_named(rules: DataFrame, products: DataFrame) -> DataFrame:
     rules = named(rules, "antecedent", products, "antecedent_names")
     return named(rules, "consequent", products, "consequent_names")
@@ -197,6 +211,11 @@ def bundles(
     return good.orderBy(*order).limit(top_n).withColumn("id", F.row_number().over(W.orderBy(*order)))
 
 
+def bundles_named(found: DataFrame, products: DataFrame) -> DataFrame:
+    """Bundles with the names and categories of their products."""
+    return named(found, "products", products, "names", "categories")
+
+
 def _by_probe(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules with ``probe``: the product of the antecedent that is bought least."""
     rarest = (
@@ -209,31 +228,34 @@ def _by_probe(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _useful_baskets(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Baskets reduced to products that occur in rules, which bounds them by their number."""
+    """Baskets reduced to products that occur in rules, which bounds them by their number.
+
+    They are laid out by transaction in a stated number of tasks, as few bytes unfold to many rows
+    later; the grouping takes that layout as it is.
+    """
     used = rules.select(F.explode(F.concat("antecedent", "consequent")).alias("product_id")).distinct()
     return (
         lines.select("transaction_id", "product_id")
         .join(used, "product_id", "left_semi")
+        .repartition(shuffle_tasks(lines.sparkSession), "transaction_id")
         .groupBy("transaction_id").agg(F.collect_set("product_id").alias("basket"))
     )
 
 
-def _held_by(baskets: DataFrame, keyed: DataFrame) -> DataFrame:
+def _held_by(baskets: DataFrame, keyed: DataFrame, lines: DataFrame) -> DataFrame:
     """Join each basket with the rules whose antecedent it holds: one equi-join on the probe,
-    the rest of the antecedent is checked in place. No basket is paired with all rules."""
-    tasks = shuffle_tasks(baskets.sparkSession)
+    the rest of the antecedent is checked in place. No basket is paired with all rules, and the
+    baskets of a best seller are dealt over several tasks."""
     holds = (F.size("antecedent") == 1) | (F.size(F.array_except("antecedent", "basket")) == 0)
-    return (
-        baskets.repartition(tasks, "transaction_id", "basket")
-        .select("transaction_id", "basket", F.explode("basket").alias("probe"))
-        .join(keyed, "probe").filter(holds).drop("probe")
-    )
+    probes = baskets.select("transaction_id", "basket", F.explode("basket").alias("probe"))
+    sizes = cut_lineage(item_support(lines).select(F.col("product_id").alias("probe"), F.col("support_count").alias("n")))
+    return hot_join(probes, keyed, ["probe"], sizes, ["transaction_id"]).filter(holds).drop("probe")
 
 
 def applicable_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (transaction, rule) whose antecedent the transaction's basket holds."""
     rules = cut_lineage(rules.select("antecedent", "consequent", "support", "confidence", "lift"))
-    return _held_by(_useful_baskets(lines, rules), cut_lineage(_by_probe(lines, rules)))
+    return _held_by(_useful_baskets(lines, rules), cut_lineage(_by_probe(lines, rules)), lines)
 
 
 def rule_recommendations(lines: DataFrame, rules: DataFrame, top_n: int = 5) -> DataFrame:
@@ -257,7 +279,7 @@ def rule_recommendations(lines: DataFrame, rules: DataFrame, top_n: int = 5) ->
     )
     offers = cut_lineage(offers)
     keyed = cut_lineage(_by_probe(lines, offers.select("antecedent", "product_id", "place")))
-    candidates = _held_by(_useful_baskets(lines, rules), keyed).filter(
+    candidates = _held_by(_useful_baskets(lines, rules), keyed, lines).filter(
         ~F.array_contains("basket", F.col("product_id"))
     )
     best = candidates.groupBy("transaction_id", "product_id").agg(F.min("place").alias("place"))
@@ -281,7 +303,7 @@ def rules_chart(rules: DataFrame, top_n: int = 10) -> DataFrame:
 
 def rules_display(rules: DataFrame, products: DataFrame) -> DataFrame:
     """Rules as shown to people: names joined, measures as text."""
-    text = lambda c, places: F.format_string(f"%.{places}f", F.col(c))
+    text = lambda c, places: F.format_string(f"%.{places}f", F.round(F.round(c, 12), places))
     return rules_named(rules, products).select(
         F.array_join("antecedent_names", ", ").alias("if_buy"),
         F.array_join("consequent_names", ", ").alias("then_buy"),

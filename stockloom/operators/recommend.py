@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from stockloom.functions.skew import big_keys, shuffle_tasks
+from stockloom.functions.skew import big_keys, hot_join, shuffle_tasks
 from stockloom.functions.ties import tie_key
 from stockloom.operators.graph import with_product_info
+from stockloom.session import cut_lineage
 
 
 def _best(df: DataFrame, key: str, score: str, top_n: int) -> DataFrame:
@@ -55,8 +56,9 @@ def for_baskets(lines: DataFrame, collab: DataFrame, top_n: int = 5, max_basket:
 
     Give ``collab`` 2 * top_n candidates per product. Every line unfolds the offers of its
     product and a mark of its own, so that one grouped sum replaces an anti-join. Lines are laid
-    out by transaction first: offers, ten times as many, then need no shuffle. Only with a
-    transaction too big for a task the sums are spread by product as well.
+    out by transaction first: offers, ten times as many, then need no shuffle as long as Spark can
+    broadcast them; beyond that the lines of a best seller are dealt over several tasks. Only with
+    a transaction too big for a task the sums are spread by product as well.
     """
     held = lines.select("transaction_id", "product_id")
     if big_keys(held, "transaction_id", max_basket).isEmpty():
@@ -65,9 +67,10 @@ def for_baskets(lines: DataFrame, collab: DataFrame, top_n: int = 5, max_basket:
         F.collect_list(F.struct("product_id", "score", F.lit(False).alias("own"))).alias("offers")
     )
     own = F.struct("product_id", F.lit(0.0).alias("score"), F.lit(True).alias("own"))
+    held = held.distinct()
+    sizes = cut_lineage(held.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")))
     scored = (
-        held.distinct()
-        .join(offers.withColumnRenamed("for_product", "product_id"), "product_id", "left")
+        hot_join(held, offers.withColumnRenamed("for_product", "product_id"), ["product_id"], sizes, ["transaction_id"], "left")
         .select(
             "transaction_id",
             F.inline(F.when(F.col("offers").isNull(), F.array(own)).otherwise(F.concat("offers", F.array(own)))),

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stockloom.functions.clean import category_or_default
-from stockloom.functions.skew import with_parts
 from stockloom.sources.tables import Retail
 
 
@@ -28,11 +27,12 @@ def inventory_view(retail: Retail) -> DataFrame:
 
 
 def recent_transactions(
-    retail: Retail, as_of: datetime | None = None, days: int = 30, limit: int | None = 1000
+    retail: Retail, as_of: datetime | None = None, days: int = 30, limit: int | None = None
 ) -> DataFrame:
     """Transactions of known customers in the last ``days`` before ``as_of``, newest first.
 
-    ``as_of`` defaults to the newest transaction. Ties on time go to the larger id.
+    ``as_of`` defaults to the newest transaction. Ties on time go to the larger id. All of them,
+    unless a ``limit`` is asked for.
     """
     txns = retail.transactions
     if as_of is None:
@@ -50,7 +50,7 @@ def recent_transactions(
 
 
 def transaction_items(
-    retail: Retail, transaction_id: int | None = None, limit: int | None = 1000
+    retail: Retail, transaction_id: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """Lines with product name and line total: those of one transaction, or a preview of all.
 
@@ -71,14 +71,9 @@ def transaction_items(
     )
 
 
-def baskets(items: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """The sorted set of products of every transaction.
-
-    ``part`` is 0, but for a transaction of more than ``max_rows`` lines: its set then comes as
-    several disjoint parts, so that no row or task has to hold it whole.
-    """
-    lines, _ = with_parts(items.select("transaction_id", "product_id"), "transaction_id", ["product_id"], max_rows)
-    return lines.groupBy("transaction_id", "part").agg(F.sort_array(F.collect_set("product_id")).alias("items"))
+def baskets(items: DataFrame) -> DataFrame:
+    """The sorted set of products of every transaction, one row each. Sets combine before the shuffle."""
+    return items.groupBy("transaction_id").agg(F.sort_array(F.collect_set("product_id")).alias("items"))
 
 
 def flat_items(transactions: DataFrame) -> DataFrame:
@@ -93,28 +88,18 @@ def flat_items(transactions: DataFrame) -> DataFrame:
     )
 
 
-def nested_transactions(sales: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def nested_transactions(sales: DataFrame) -> DataFrame:
     """Sales folded to one row per transaction with its lines nested, its total and line count.
 
-    The lines of a transaction of more than ``max_rows`` lines come as several records, numbered
-    by ``part``, each with the totals of the whole. ``promotion_applied`` is kept where present.
+    ``promotion_applied`` is kept where present.
     """
     line = ["product_id", "product_name", "category", "quantity", "price", "total"]
     if "promotion_applied" in sales.columns:
         line.append("promotion_applied")
     lines = sales.withColumnsRenamed({"price_per_unit": "price", "transaction_date": "timestamp"})
     lines = lines.withColumn("total", F.col("quantity") * F.col("price"))
-    lines, split = with_parts(lines, "transaction_id", line, max_rows)
-    per_part = lines.groupBy("transaction_id", "customer_id", "timestamp", "part").agg(
+    return lines.groupBy("transaction_id", "customer_id", "timestamp").agg(
         F.sort_array(F.collect_list(F.struct(*line))).alias("items"),
-        F.sum("total").alias("part_total"),
-        F.count(F.lit(1)).alias("part_items"),
-    )
-    if not split:
-        return per_part.withColumnsRenamed({"part_total": "total", "part_items": "n_items"})
-    whole = W.partitionBy("transaction_id")
-    return per_part.select(
-        "transaction_id", "customer_id", "timestamp", "part", "items",
-        F.sum("part_total").over(whole).alias("total"),
-        F.sum("part_items").over(whole).alias("n_items"),
+        F.sum("total").alias("total"),
+        F.count(F.lit(1)).alias("n_items"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.text import STOP_WORDS
 from stockloom.operators import graph, recommend, similarity
-from stockloom.plans.registry import query
+from stockloom.plans.registry import query, with_info
 from stockloom.session import cut_lineage
 from stockloom.sources.tables import Retail, open_retail
 
@@ -126,12 +126,12 @@ def rank_subgraph(spark: SparkSession, folder: str) -> DataFrame:
     return graph.rank_subgraph(bought, ranks, 20).nodes.withColumn("rank", F.round("rank", 10))
 
 
-@query("collab_recs", f"""WITH {_COLLAB}
+@query("collab_recs", with_info(f"""WITH {_COLLAB}
 SELECT for_product, product_id, weight, round(rank, 10) AS rank, round(score, 10) AS score, CAST(position AS INTEGER) AS position
-FROM collab WHERE position <= {TOP}""")
+FROM collab WHERE position <= {TOP}"""))
 def collab_recs(spark: SparkSession, folder: str) -> DataFrame:
-    _, bought, ranks = ranked(spark, folder)
-    found = recommend.collaborative(bought.edges, ranks, TOP)
+    retail, bought, ranks = ranked(spark, folder)
+    found = graph.with_product_info(recommend.collaborative(bought.edges, ranks, TOP), retail.products)
     return found.withColumns({"rank": F.round("rank", 10), "score": F.round("score", 10)})
 
 
@@ -164,13 +164,33 @@ def content_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("content_recs", f"""WITH {_CONTENT}
-SELECT product_id, other_id, similarity, CAST(position AS INTEGER) AS position FROM content WHERE position <= {TOP}""")
+_SIMILAR = """
+SELECT * FROM (
+  SELECT a.id, b.id AS other_id, round(sum(a.weight * b.weight), 9) AS similarity
+  FROM vectors a JOIN vectors b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
+WHERE similarity >= """
+
+
+@query("similar_documents", f"""WITH {_tfidf_sql('SELECT doc_id AS id, text FROM documents')} {_SIMILAR} 0.8""")
+def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return similarity.similar_pairs(similarity.tfidf(texts), 0.8)
+
+
+@query("similar_products", f"""WITH {_tfidf_sql(_PRODUCT_TEXT)} {_SIMILAR} 0.95""")
+def similar_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Products whose name, category and description say nearly the same."""
+    return similarity.similar_pairs(similarity.tfidf(similarity.product_texts(open_retail(spark, folder).products)), 0.95)
+
+
+@query("content_recs", with_info(f"""WITH {_CONTENT}
+SELECT product_id, other_id, similarity, CAST(position AS INTEGER) AS position FROM content WHERE position <= {TOP}""", "other_id"))
 def content_recs(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.content_recommendations(open_retail(spark, folder).products, TOP)
+    products = open_retail(spark, folder).products
+    return graph.with_product_info(similarity.content_recommendations(products, TOP), products, "other_id")
 
 
-@query("hybrid_recs", f"""WITH {_COLLAB},
+@query("hybrid_recs", with_info(f"""WITH {_COLLAB},
 {_CONTENT},
 both_sides AS (
   SELECT coalesce(a.for_product, b.product_id) AS for_product, coalesce(a.product_id, b.other_id) AS product_id,
@@ -182,27 +202,28 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY for_product ORDER BY round(hybrid_score, 12) DESC, product_id) AS position FROM mixed)
 SELECT for_product, product_id, round(collaborative_score, 10) AS collaborative_score, content_score,
        round(hybrid_score, 10) AS hybrid_score, CAST(position AS INTEGER) AS position
-FROM placed WHERE position <= {TOP}""")
+FROM placed WHERE position <= {TOP}"""))
 def hybrid_recs(spark: SparkSession, folder: str) -> DataFrame:
     retail, bought, ranks = ranked(spark, folder)
     collab = recommend.collaborative(bought.edges, ranks, 2 * TOP)
     content = similarity.content_recommendations(retail.products, 2 * TOP)
-    found = recommend.hybrid(collab, content, TOP)
+    found = graph.with_product_info(recommend.hybrid(collab, content, TOP), retail.products)
     return found.withColumns({c: F.round(c, 10) for c in ("collaborative_score", "hybrid_score")})
 
 
-@query("basket_recs", f"""WITH {_COLLAB},
+@query("basket_recs", with_info(f"""WITH {_COLLAB},
 offers AS (
   SELECT l.t AS transaction_id, c.product_id, sum(c.score) AS score
   FROM lines l JOIN collab c ON c.for_product = l.p AND c.position <= {2 * TOP} GROUP BY 1, 2),
 fresh AS (SELECT o.* FROM offers o WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.t = o.transaction_id AND l.p = o.product_id)),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY round(score, 12) DESC, product_id) AS position FROM fresh)
-SELECT transaction_id, product_id, round(score, 10) AS score, CAST(position AS INTEGER) AS position FROM placed WHERE position <= {TOP}""")
+SELECT transaction_id, product_id, round(score, 10) AS score, CAST(position AS INTEGER) AS position FROM placed WHERE position <= {TOP}"""))
 def basket_recs(spark: SparkSession, folder: str) -> DataFrame:
     retail, bought, ranks = ranked(spark, folder)
     collab = cut_lineage(recommend.collaborative(bought.edges, ranks, 2 * TOP))
-    return recommend.for_baskets(retail.items, collab, TOP).withColumn("score", F.round("score", 10))
+    found = graph.with_product_info(recommend.for_baskets(retail.items, collab, TOP), retail.products)
+    return found.withColumn("score", F.round("score", 10))
 
 
 @query("category_recs", f"""WITH {_RANKS},

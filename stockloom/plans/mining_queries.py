@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockloom.operators import mining
-from stockloom.plans.registry import query
+from stockloom.operators.graph import with_product_info
+from stockloom.plans.registry import query, with_info
 from stockloom.sources.tables import open_retail
 
 MIN_SUPPORT = 0.004
@@ -107,26 +108,30 @@ def itemsets_named(spark: SparkSession, folder: str) -> DataFrame:
 SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent,
        array_to_string(list_transform(antecedent, lambda x: 'Brand#' || x), ',') AS antecedent_names,
        array_to_string(list_transform(consequent, lambda x: 'Brand#' || x), ',') AS consequent_names,
-       round(lift, 6) AS lift
-FROM rules ORDER BY round(rules.lift, 12) DESC, rules.antecedent, rules.consequent LIMIT 50""")
+       round(lift, 6) AS lift, CAST(row_number() OVER (ORDER BY round(lift, 12) DESC, antecedent, consequent) AS BIGINT) AS place
+FROM rules""")
 def rules_sorted(spark: SparkSession, folder: str) -> DataFrame:
     products = open_retail(spark, folder).by_supplier().products
-    top = mining.rules_sorted(rules(spark, folder), "lift").limit(50)
     columns = ["antecedent", "consequent", "antecedent_names", "consequent_names"]
-    return mining.rules_named(top, products).select(
-        *[text(c).alias(c) for c in columns], F.round("lift", 6).alias("lift")
+    return mining.rules_placed(mining.rules_named(rules(spark, folder), products), "lift").select(
+        *[text(c).alias(c) for c in columns], F.round("lift", 6).alias("lift"), "place"
     )
 
 
-@query("bundles", f"""WITH {_RULES.strip()}
-SELECT CAST(row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent, consequent) AS INTEGER) AS id,
-       array_to_string(list_sort(list_concat(antecedent, consequent)), ',') AS products,
-       round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(support, 6) AS support
-FROM rules WHERE lift >= 1.02 AND confidence >= 0.12 ORDER BY id LIMIT 10""")
+@query("bundles", f"""WITH {_RULES.strip()},
+top AS (
+  SELECT CAST(row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent, consequent) AS INTEGER) AS id,
+         list_sort(list_concat(antecedent, consequent)) AS products, lift, confidence, support
+  FROM rules WHERE lift >= 1.02 AND confidence >= 0.12 ORDER BY id LIMIT 10)
+SELECT t.id, string_agg(b.product_id, ',' ORDER BY b.product_id) AS products, string_agg(b.name, ',' ORDER BY b.product_id) AS names,
+       string_agg(b.category, ',' ORDER BY b.product_id) AS categories,
+       round(t.lift, 6) AS lift, round(t.confidence, 6) AS confidence, round(t.support, 6) AS support
+FROM top t JOIN brands b ON list_contains(t.products, b.product_id) GROUP BY t.id, t.lift, t.confidence, t.support""")
 def bundles(spark: SparkSession, folder: str) -> DataFrame:
-    found = mining.bundles(rules(spark, folder), min_lift=1.02, min_confidence=0.12, top_n=10)
+    sold = open_retail(spark, folder).by_supplier().products
+    found = mining.bundles_named(mining.bundles(rules(spark, folder), min_lift=1.02, min_confidence=0.12, top_n=10), sold)
     return found.select(
-        "id", text("products").alias("products"), *[F.round(m, 6).alias(m) for m in ("lift", "confidence", "support")]
+        "id", *[text(c).alias(c) for c in ("products", "names", "categories")], *[F.round(m, 6).alias(m) for m in ("lift", "confidence", "support")]
     )
 
 
@@ -144,7 +149,7 @@ def containment_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("rule_recs", f"""WITH {_RULES.strip()},{_HELD},
+@query("rule_recs", with_info(f"""WITH {_RULES.strip()},{_HELD},
 new_items AS (
   SELECT h.transaction_id, unnest(list_filter(r.consequent, lambda x: NOT list_contains(h.basket, x))) AS product_id,
          round(r.lift, 12) AS score, round(r.confidence, 12) AS confidence, r.antecedent
@@ -156,16 +161,22 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY score DESC, confidence DESC, product_id) AS position FROM best)
 SELECT transaction_id, product_id, round(score, 6) AS score, round(confidence, 6) AS confidence,
        array_to_string(antecedent, ',') AS antecedent, CAST(position AS INTEGER) AS position
-FROM placed WHERE position <= 3""")
+FROM placed WHERE position <= 3""", table="brands"))
 def rule_recs(spark: SparkSession, folder: str) -> DataFrame:
-    found = mining.rule_recommendations(lines(spark, folder), rules(spark, folder), top_n=3)
+    retail = open_retail(spark, folder).by_supplier()
+    found = with_product_info(mining.rule_recommendations(retail.items, rules(spark, folder), top_n=3), retail.products)
     return found.select(
-        "transaction_id", "product_id", F.round("score", 6).alias("score"),
+        "transaction_id", "product_id", "name", "category", F.round("score", 6).alias("score"),
         F.round("confidence", 6).alias("confidence"), text("antecedent").alias("antecedent"), "position",
     )
 
 
-@query("rules_display")
+@query("rules_display", f"""WITH {_RULES.strip()}
+SELECT array_to_string(list_transform(antecedent, lambda x: 'Brand#' || x), ', ') AS if_buy,
+       array_to_string(list_transform(consequent, lambda x: 'Brand#' || x), ', ') AS then_buy,
+       printf('%.4f', round(round(support, 12), 4)) AS support, printf('%.4f', round(round(confidence, 12), 4)) AS confidence,
+       printf('%.2f', round(round(lift, 12), 2)) AS lift
+FROM rules""")
 def rules_display(spark: SparkSession, folder: str) -> DataFrame:
     products = open_retail(spark, folder).by_supplier().products
     return mining.rules_display(rules(spark, folder), products)

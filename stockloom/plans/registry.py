@@ -60,6 +60,11 @@ def with_views(body: str) -> str:
     return f"WITH {VIEWS.strip()}\n{body}"
 
 
+def with_info(body: str, key: str = "product_id", table: str = "products") -> str:
+    """SQL of a recommendation with the name and category of the product in ``key``."""
+    return f"SELECT q.*, p.name, p.category FROM ({body}) q JOIN {table} p ON p.product_id = q.{key}"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(plan: Query) -> Query:
         if name in QUERIES:

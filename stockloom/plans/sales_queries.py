@@ -44,7 +44,7 @@ SELECT t.transaction_id, strftime(t.transaction_date, '%Y-%m-%d') AS transaction
        c.name AS customer_name
 FROM transactions t JOIN customers c USING (customer_id)
 WHERE t.transaction_date >= (SELECT max(transaction_date) FROM transactions) - INTERVAL 30 DAY
-ORDER BY t.transaction_date DESC, t.transaction_id DESC LIMIT 1000""")
+ORDER BY t.transaction_date DESC, t.transaction_id DESC""")
 def recent_transactions(spark: SparkSession, folder: str) -> DataFrame:
     found = scans.recent_transactions(open_retail(spark, folder))
     return found.withColumn("transaction_date", text_day("transaction_date"))
@@ -55,8 +55,7 @@ _ITEM_COLUMNS = """i.transaction_id, i.product_id, p.name AS product_name, i.qua
 
 
 @query("transaction_items_view", f"""
-SELECT {_ITEM_COLUMNS} FROM items i JOIN products p USING (product_id)
-ORDER BY i.transaction_id, i.product_id, i.quantity, i.price_per_unit LIMIT 1000""")
+SELECT {_ITEM_COLUMNS} FROM items i JOIN products p USING (product_id)""")
 def transaction_items_view(spark: SparkSession, folder: str) -> DataFrame:
     return scans.transaction_items(open_retail(spark, folder))
 
@@ -68,7 +67,7 @@ def transaction_items_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("baskets", """
-SELECT transaction_id, CAST(0 AS BIGINT) AS part, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY product_id) AS items
+SELECT transaction_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY product_id) AS items
 FROM (SELECT DISTINCT transaction_id, product_id FROM items) GROUP BY transaction_id""")
 def baskets(spark: SparkSession, folder: str) -> DataFrame:
     found = scans.baskets(open_retail(spark, folder).items)
