@@ -9,8 +9,9 @@ def exact_quantile(df: DataFrame, column: str, q: float, bins: int = 4096, small
     """The ``q`` quantile with linear interpolation between neighbours.
 
     Each pass counts values per bin of an ever smaller range, and at most ``small`` values of the
-    last range come to the driver. Cache ``df`` if it is costly to compute.
+    last range come to the driver. Nulls and NaN are left out. Cache ``df`` if it is costly to compute.
     """
+    df = df.filter(~F.isnan(F.col(column).cast("double")))
     low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
     if n == 0:
         raise ValueError("quantile of no values")

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stockloom.functions.dates import period_key
+from stockloom.session import cut_lineage
 
 _STEP = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY"}
 
@@ -39,6 +40,13 @@ def last_periods(items: DataFrame, period: str, count: int, as_of: datetime | No
     return spark.range(count).select(period_key(now - back, period).alias(period))
 
 
+def since(items: DataFrame, period: str, count: int, as_of: datetime | None = None) -> DataFrame:
+    """Rows of the last ``count`` hours or days and of up to one period before them, which may have
+    begun earlier. The bound is on the timestamp itself, so that it reaches the scan; keys of
+    periods sort out the rest."""
+    return items.filter(F.col("timestamp") >= _now(items, as_of) - F.expr(_STEP[period]) * F.lit(count + 1))
+
+
 def retained(totals: DataFrame, items: DataFrame, period: str, count: int, as_of: datetime | None = None) -> DataFrame:
     """Totals without the periods older than ``count`` hours or days before ``as_of``."""
     oldest = period_key(_now(items, as_of) - F.expr(_STEP[period]) * F.lit(count), period)
@@ -50,7 +58,7 @@ def top_per_period_filled(
 ) -> DataFrame:
     """Top lists of the last hours or days; one without a sale stays as a row without a product."""
     keys = last_periods(items, period, count, as_of)
-    wanted = product_totals(items, period).join(F.broadcast(keys), period, "left_semi")
+    wanted = product_totals(since(items, period, count, as_of), period).join(F.broadcast(keys), period, "left_semi")
     return keys.join(top_per_period(wanted, period, top_n), period, "left")
 
 
@@ -74,9 +82,10 @@ def hourly_series(
     sums all sales instead. Only hours in which a leader sold appear.
     """
     keys = last_periods(items, "hour", hours, as_of)
-    totals = product_totals(items, "hour").join(F.broadcast(keys), "hour", "left_semi")
+    totals = product_totals(since(items, "hour", hours, as_of), "hour").join(F.broadcast(keys), "hour", "left_semi")
     if per_hour is not None:
         totals = top_per_period(totals, "hour", per_hour).drop("position")
+    totals = cut_lineage(totals)  # read twice
     leaders = (
         totals.groupBy("product_id").agg(F.sum("units").alias("all_units"))
         .orderBy(F.desc("all_units"), "product_id").limit(top_n)

@@ -14,6 +14,8 @@ from stockloom.streaming import counters
 # The counts of one item are too many for a summary of fewer counters than this to hold exactly.
 SPACE_SAVING_K = 50
 CMS_WIDTH, CMS_DEPTH = 1000, 5
+# The hash family that SQL can state.
+CMS = {"width": CMS_WIDTH, "depth": CMS_DEPTH, "hashing": "modular"}
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +88,7 @@ def daily_top_n_filled(spark: SparkSession, folder: str) -> DataFrame:
 SELECT * FROM totals WHERE hour >= strftime((SELECT max(ts) FROM stream) - INTERVAL 24 HOUR, '%Y-%m-%d %H:00')""")
 def hourly_retained(spark: SparkSession, folder: str) -> DataFrame:
     lines = events(spark, folder)
-    return ticker.retained(ticker.product_totals(lines, "hour"), lines, "hour", 24)
+    return ticker.retained(ticker.product_totals(ticker.since(lines, "hour", 24), "hour"), lines, "hour", 24)
 
 
 @query("transaction_rate", """
@@ -140,16 +142,16 @@ estimates AS (
 @query("cms_estimate", f"WITH {_estimate_sql('items')} SELECT product_id, estimate FROM estimates")
 def cms_estimate(spark: SparkSession, folder: str) -> DataFrame:
     items = open_retail(spark, folder).items
-    sketch = sketches.count_min(items, width=CMS_WIDTH, depth=CMS_DEPTH)
-    return sketches.count_min_estimate(items, sketch, width=CMS_WIDTH, depth=CMS_DEPTH)
+    sketch = sketches.count_min(items, **CMS)
+    return sketches.count_min_estimate(items, sketch, **CMS)
 
 
 @query("cms_heavy_hitters", f"""WITH {_estimate_sql('items')}
 SELECT product_id, estimate FROM estimates WHERE estimate > 1000""")
 def cms_heavy_hitters(spark: SparkSession, folder: str) -> DataFrame:
     items = open_retail(spark, folder).items
-    sketch = sketches.count_min(items, width=CMS_WIDTH, depth=CMS_DEPTH)
-    return sketches.count_min_heavy_hitters(items, sketch, 1000, width=CMS_WIDTH, depth=CMS_DEPTH)
+    sketch = sketches.count_min(items, **CMS)
+    return sketches.count_min_heavy_hitters(items, sketch, 1000, **CMS)
 
 
 @query("space_saving_topk")
@@ -157,6 +159,20 @@ def space_saving_topk(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.space_saving(open_retail(spark, folder).items, SPACE_SAVING_K)
 
 
+@query("space_saving_violations", f"""
+SELECT CAST(0 AS BIGINT) AS violations, CAST(least({SPACE_SAVING_K}, count(DISTINCT product_id)) AS BIGINT) AS counters FROM items""")
+def space_saving_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of the summary that break its promise: count - error <= true weight <= count, error <= total / k."""
+    items = open_retail(spark, folder).items
+    exact = items.groupBy(F.col("product_id").alias("item")).agg(F.sum("quantity").alias("units"))
+    total = exact.agg(F.sum("units").alias("total")).scalar()
+    kept = (F.col("units") <= F.col("count")) & (F.col("count") - F.col("error") <= F.col("units")) & (
+        F.col("error") * SPACE_SAVING_K <= total
+    )
+    found = sketches.space_saving(items, SPACE_SAVING_K).join(exact, "item", "left")
+    return found.agg(F.count_if(~F.coalesce(kept, F.lit(False))).alias("violations"), F.count(F.lit(1)).alias("counters"))
+
+
 _TOP_EXACT = """SELECT product_id, CAST(sum(quantity) AS BIGINT) AS count, CAST(0 AS BIGINT) AS error
 FROM stream GROUP BY 1 ORDER BY count DESC, product_id LIMIT 10"""
 
@@ -172,6 +188,13 @@ def frequent_products_space_saving(spark: SparkSession, folder: str) -> DataFram
     return sketches.frequent_products(events(spark, folder), 10, "space_saving", k=100)
 
 
+@query("frequent_products_count_min", f"""WITH {_estimate_sql('stream')}
+SELECT product_id, estimate AS count FROM estimates ORDER BY estimate DESC, product_id LIMIT 10""")
+def frequent_products_count_min(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketches.frequent_products(events(spark, folder), 10, "count_min_sketch", **CMS)
+    return found.select("product_id", "count")
+
+
 def _new_run(spark: SparkSession) -> str:
     return run_dir(spark, "stream")
 
@@ -183,6 +206,15 @@ def stream_hourly_totals(spark: SparkSession, folder: str) -> DataFrame:
     return counters.newest_totals(spark, out, ["hour", "product_id"])
 
 
+@query("stream_retained", f"""WITH totals AS ({_HOURLY})
+SELECT * FROM totals WHERE hour >= strftime((SELECT max(ts) FROM stream) - INTERVAL 24 HOUR, '%Y-%m-%d %H:00')""")
+def stream_retained(spark: SparkSession, folder: str) -> DataFrame:
+    """The hours a live page shows: those past retention leave the result."""
+    out = _new_run(spark)
+    counters.run(counters.start_period_totals(flat_items(stream_events(spark, folder)), "hour", out))
+    return counters.retained_totals(spark, out, "hour")
+
+
 @query("stream_daily_totals", _DAILY)
 def stream_daily_totals(spark: SparkSession, folder: str) -> DataFrame:
     out = _new_run(spark)
@@ -211,9 +243,9 @@ def stream_cms_estimate(spark: SparkSession, folder: str) -> DataFrame:
     """The sketch kept by the stream, asked for every product seen."""
     out = _new_run(spark)
     items = flat_items(stream_events(spark, folder))
-    counters.run(counters.start_count_min(items, out, CMS_WIDTH, CMS_DEPTH))
+    counters.run(counters.start_count_min(items, out, **CMS))
     sketch = counters.newest_totals(spark, out, ["row", "bucket"]).withColumnRenamed("units", "total")
-    return sketches.count_min_estimate(events(spark, folder), sketch, width=CMS_WIDTH, depth=CMS_DEPTH)
+    return sketches.count_min_estimate(events(spark, folder), sketch, **CMS)
 
 
 @query("stream_space_saving", _TOP_EXACT.replace(" ORDER BY count DESC, product_id LIMIT 10", ""))

@@ -167,14 +167,15 @@ def open_events(spark: SparkSession, folder: str) -> DataFrame:
 def stream_events(spark: SparkSession, folder: str, files_per_trigger: int = 5) -> DataFrame:
     """The event table as a stream of nested transactions, some files per micro-batch.
 
+    The table may be one file or a folder of them, as for the batch reader. Its path is given as a
+    pattern that only it fits: Spark takes a pattern that finds a file, but not a file, as a source.
     Watermarks need TIMESTAMP, the files hold TIMESTAMP_NTZ.
     """
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     events = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", "events*.parquet")
-        .parquet(folder)
+        .parquet(f"{folder}/events.parque[t]")
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
     return _as_transactions(events)
