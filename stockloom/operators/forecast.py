@@ -9,7 +9,8 @@ from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,11 +68,20 @@ def load_or_train(spark: SparkSession, path: str, load: Callable, train: Callabl
 
 
 def fit(train: DataFrame, trees: int = 100, depth: int = 10, min_leaf: int = 5, seed: int = 42) -> DemandModel:
-    """Scaled features, then a forest that looks at all features at each split."""
+    """Scaled features, then a forest that looks at all features at each split.
+
+    Features are scaled by the population deviation: the scaler divides by the sample's, which is
+    larger by a factor that only the number of rows decides.
+    """
     features = [c for c in train.columns if c not in _KEYS]
+    # The forest passes over the rows many times: lay them out once, on as many tasks as shuffles use.
+    laid_out = train.repartition(shuffle_tasks(train.sparkSession)).persist()
+    n = laid_out.count()
+    to_population = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
     steps = [
         VectorAssembler(inputCols=features, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+        StandardScaler(inputCol="raw", outputCol="by_sample", withMean=True),
+        ElementwiseProduct(inputCol="by_sample", outputCol="scaled", scalingVec=Vectors.dense([to_population] * len(features))),
         RandomForestRegressor(
             featuresCol="scaled", labelCol=TARGET, predictionCol="predicted", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed,
@@ -79,8 +89,6 @@ def fit(train: DataFrame, trees: int = 100, depth: int = 10, min_leaf: int = 5,
             maxMemoryInMB=512,
         ),
     ]
-    # The forest passes over the rows many times: lay them out once, on as many tasks as shuffles use.
-    laid_out = train.repartition(shuffle_tasks(train.sparkSession)).persist()
     pipeline = Pipeline(stages=steps).fit(laid_out)
     laid_out.unpersist()
     return DemandModel(pipeline, features)

@@ -142,10 +142,27 @@ class IsolationForest:
     offset: float
 
     @staticmethod
-    def fit(
-        rows: DataFrame, key: str = "product_id", contamination: float | str = "auto",
-        trees: int = 100, max_sample: int = 256, seed: int = 42,
-    ) -> "IsolationForest":
+    def fit(rows: DataFrame, key: str = "product_id", contamination: float | str = "auto", **growth: int) -> "IsolationForest":
+        """A forest on ``rows``; see ``fit_predict``."""
+        if contamination == "auto":
+            return IsolationForest._grown(rows, key, **growth)
+        return IsolationForest.fit_predict(rows, key, contamination, **growth)[0]
+
+    @staticmethod
+    def fit_predict(
+        rows: DataFrame, key: str = "product_id", contamination: float | str = "auto", **growth: int
+    ) -> tuple["IsolationForest", DataFrame]:
+        """A forest and its predictions for the rows it was fitted on. Rows are scored once: the limit
+        that flags the share of ``contamination`` comes from the stored scores."""
+        forest = IsolationForest._grown(rows, key, **growth)
+        scored = cut_lineage(forest._score(rows, key))
+        if contamination != "auto":
+            limit = exact_quantile(scored.select((-F.col("raw_score")).alias("v")), "v", float(contamination))
+            forest = replace(forest, offset=limit)
+        return forest, forest._flagged(scored)
+
+    @staticmethod
+    def _grown(rows: DataFrame, key: str, trees: int = 100, max_sample: int = 256, seed: int = 42) -> "IsolationForest":
         """Each tree takes its own hash-chosen sample, grown in a task of its own."""
         features = [c for c in rows.columns if c != key]
         rows = rows.na.fill(0, features).persist()
@@ -174,13 +191,8 @@ class IsolationForest:
             return _grow(x, int(group["tree"].iloc[0]), seed)
 
         grown = picked.groupBy("tree").applyInPandas(grow, NODES).toPandas()
-        forest = IsolationForest(features, means, devs, grown.sort_values(["tree", "node"]), sample, -0.5)
-        if contamination != "auto":
-            scores = forest._score(rows, key).select((-F.col("raw_score")).alias("v")).persist()
-            forest = replace(forest, offset=exact_quantile(scores, "v", float(contamination)))
-            scores.unpersist()
         rows.unpersist()
-        return forest
+        return IsolationForest(features, means, devs, grown.sort_values(["tree", "node"]), sample, -0.5)
 
     def _score(self, rows: DataFrame, key: str) -> DataFrame:
         spark = rows.sparkSession
@@ -203,7 +215,10 @@ class IsolationForest:
     def predict(self, rows: DataFrame, key: str = "product_id") -> DataFrame:
         """key, raw_score, anomaly_score, is_anomaly. The anomaly score is the raw score shifted
         so that flagged rows lie above 0."""
-        scored = self._score(rows, key).withColumn("anomaly_score", F.col("raw_score") + self.offset)
+        return self._flagged(self._score(rows, key))
+
+    def _flagged(self, scored: DataFrame) -> DataFrame:
+        scored = scored.withColumn("anomaly_score", F.col("raw_score") + self.offset)
         return scored.withColumn("is_anomaly", F.col("anomaly_score") > 0)
 
     def save(self, spark: SparkSession, path: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stockloom.operators import forecast, segments, spoilage, stock
 from stockloom.plans import report
@@ -76,14 +76,12 @@ def fitted(spark: SparkSession, folder: str) -> tuple[spoilage.IsolationForest,
 
 @query("anomaly_score")
 def anomaly_score(spark: SparkSession, folder: str) -> DataFrame:
-    forest, rows = fitted(spark, folder)
-    return forest.predict(rows)
+    return spoilage.IsolationForest.fit_predict(cut_lineage(product_features(spark, folder)), contamination=CONTAMINATION)[1]
 
 
 @query("top_anomalies")
 def top_anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    forest, rows = fitted(spark, folder)
-    return spoilage.top_anomalies(forest.predict(rows), 20)
+    return spoilage.top_anomalies(anomaly_score(spark, folder), 20)
 
 
 @query("spoilt_items")
@@ -123,3 +121,140 @@ def segment_sizes(spark: SparkSession, folder: str) -> DataFrame:
 @query("segment_centers")
 def segment_centers(spark: SparkSession, folder: str) -> DataFrame:
     return segments.segment(scores(spark, folder), k=4).centers
+
+
+# What must hold of the models above, whatever they have learned: each check has a SQL twin.
+
+_SOLD_BRANDS = "(SELECT count(DISTINCT product_id) FROM brand_sales)"
+
+
+@query("forecast_checks", f"""
+SELECT CAST(7 * {_SOLD_BRANDS} AS BIGINT) AS forecasts, CAST(7 AS BIGINT) AS days, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS repeated,
+       strftime(max(transaction_date) + INTERVAL 1 DAY, '%Y-%m-%d') AS first_day FROM brand_sales""")
+def forecast_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every supplier has one forecast for each of seven days from the newest feature row on, none below 0."""
+    found = cut_lineage(forecast_7d(spark, folder))
+    return found.agg(
+        F.count(F.lit(1)).alias("forecasts"), F.count_distinct("date").alias("days"), F.count_if(F.col("predicted_sales") < 0).alias("negative"),
+        (F.count(F.lit(1)) - F.count_distinct("product_id", "date")).alias("repeated"), F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_day"),
+    )
+
+
+@query("forecast_quality_checks", """
+SELECT CAST(1 AS BIGINT) AS importances_sum_to_one, CAST(0 AS BIGINT) AS negative, CAST(1 AS BIGINT) AS better_than_the_mean""")
+def forecast_quality_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances are shares, and on the later days the forest errs less than their mean would."""
+    return forecast_quality(spark, folder).agg(
+        F.round(F.sum("importance"), 6).cast("long").alias("importances_sum_to_one"), F.count_if(F.col("importance") < 0).alias("negative"),
+        F.max((F.col("r2") > 0).cast("long")).alias("better_than_the_mean"),
+    )
+
+
+@query("forecast_low_stock_checks", """SELECT CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS not_short""")
+def forecast_low_stock_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every alert falls within the threshold, and its stock is below the forecast of the week."""
+    found = forecast_low_stock(spark, folder)
+    week = F.col("avg_daily_sales") * 7 + 1e-6
+    return found.agg(F.count_if(F.col("days_until_stockout") > 5).alias("late"), F.count_if(F.col("current_inventory") > week).alias("not_short"))
+
+
+@query("anomaly_checks", f"""
+SELECT count(*) AS rows, CAST(1 AS BIGINT) AS share_is_right, CAST(0 AS BIGINT) AS flag_disagrees, CAST(0 AS BIGINT) AS out_of_range FROM inventory""")
+def anomaly_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every product is scored, the share asked for is flagged (but for ties at the limit), and flags say the score lies above 0."""
+    found = anomaly_score(spark, folder)
+    share = F.count_if("is_anomaly") / F.count(F.lit(1))
+    return found.agg(
+        F.count(F.lit(1)).alias("rows"), (F.abs(share - CONTAMINATION) <= 0.005).cast("long").alias("share_is_right"),
+        F.count_if(F.col("is_anomaly") != (F.col("anomaly_score") > 0)).alias("flag_disagrees"),
+        F.count_if(~F.col("raw_score").between(0, 1)).alias("out_of_range"),
+    )
+
+
+@query("top_anomalies_checks", """
+SELECT CAST(least(20, count(*)) AS BIGINT) AS listed, CAST(0 AS BIGINT) AS beaten FROM inventory""")
+def top_anomalies_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """No product outside the list scores higher than one in it."""
+    scored = cut_lineage(anomaly_score(spark, folder))
+    top = cut_lineage(spoilage.top_anomalies(scored, 20).select("product_id", "anomaly_score"))
+    least = top.agg(F.min("anomaly_score").alias("least")).scalar()
+    outside = scored.join(top.select("product_id"), "product_id", "left_anti")
+    beaten = outside.agg(F.count_if(F.col("anomaly_score") > least).alias("n")).scalar()
+    return top.agg(F.count(F.lit(1)).alias("listed")).withColumn("beaten", beaten)
+
+
+@query("inventory_report_checks", """SELECT 'low stock' AS section, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added
+UNION ALL SELECT 'spoilt', 0, 0""")
+def inventory_report_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The report holds the products of its two sources, each in its section, and no others."""
+    retail = open_retail(spark, folder)
+    demand, inventory = mean_demand(spark, folder)
+    low = cut_lineage(stock.low_stock(inventory, demand, threshold_days=5))
+    spoilt = cut_lineage(spoilt_items(spark, folder))
+    section = lambda df, name: df.select(F.lit(name).alias("section"), "product_id", F.lit(1).alias("due"))
+    due = section(low, "low stock").unionByName(section(spoilt, "spoilt"))
+    shown = report.inventory_report(low, spoilt, retail.products).select("section", "product_id", F.lit(1).alias("shown"))
+    names = spark.createDataFrame([("low stock",), ("spoilt",)], "section string")
+    found = due.join(shown, ["section", "product_id"], "full_outer").groupBy("section").agg(
+        F.count_if(F.col("shown").isNull()).alias("missing"), F.count_if(F.col("due").isNull()).alias("added")
+    )
+    return names.join(found, "section", "left").na.fill(0)
+
+
+@query("elbow_checks", """SELECT CAST(10 AS BIGINT) AS ks, CAST(0 AS BIGINT) AS rises, CAST(0 AS BIGINT) AS negative""")
+def elbow_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Inertia is there for 1 to 10 clusters and doesn't rise with their number."""
+    found = elbow(spark, folder)
+    before = F.lag("inertia").over(W.orderBy("k"))  # ten rows
+    return found.withColumn("before", before).agg(
+        F.count(F.lit(1)).alias("ks"), F.count_if(F.col("inertia") > F.col("before") * 1.001).alias("rises"),
+        F.count_if(F.col("inertia") < 0).alias("negative"),
+    )
+
+
+@query("segment_checks", """
+SELECT count(DISTINCT customer_id) AS customers, CAST(4 AS BIGINT) AS segments, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS off_centre
+FROM sales""")
+def segment_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments cover all customers, each is in the segment of its nearest centre, and centres are the means of their members."""
+    found = segments.segment(scores(spark, folder), k=4)
+    devs = found.customers.agg(*[F.stddev_pop(c).alias(f"dev_{c}") for c in segments.FEATURES])
+    centers = found.centers.select(*[F.col(c).alias("segment_" if c == "segment" else f"at_{c}") for c in found.centers.columns])
+    wide = found.customers.join(F.broadcast(devs)).join(F.broadcast(centers))  # 1 row and 4 rows
+    away = sum(((F.col(c) - F.col(f"at_{c}")) / F.col(f"dev_{c}")) ** 2 for c in segments.FEATURES)
+    nearest = wide.groupBy("customer_id", "segment").agg(F.min(away).alias("least"), F.min(F.when(F.col("segment") == F.col("segment_"), away)).alias("own"))
+    means = found.customers.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in segments.FEATURES])
+    far = [F.abs(F.col(f"mean_{c}") - F.col(c)) > 0.05 * F.col(f"dev_{c}") for c in segments.FEATURES]
+    centres = means.join(found.centers, "segment").join(F.broadcast(devs))
+    off = centres.agg(F.count_if(far[0] | far[1] | far[2]).alias("off"), F.sum("n").alias("customers"), F.count(F.lit(1)).alias("segments"))
+    wrong = nearest.agg(F.count_if(F.col("own") > F.col("least") + 1e-9).alias("n")).scalar()
+    return off.select("customers", "segments", wrong.alias("not_nearest"), F.col("off").alias("off_centre"))
+
+
+@query("segment_sizes_checks", """SELECT count(DISTINCT customer_id) AS customers, CAST(4 AS BIGINT) AS segments FROM sales""")
+def segment_sizes_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return segment_sizes(spark, folder).agg(F.sum("customers").alias("customers"), F.count(F.lit(1)).alias("segments"))
+
+
+@query("segment_centers_order", """SELECT CAST(4 AS BIGINT) AS segments, CAST(0 AS BIGINT) AS out_of_order""")
+def segment_centers_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments are numbered by the recency of their centre."""
+    before = F.lag("recency").over(W.orderBy("segment"))  # four rows
+    found = segment_centers(spark, folder).withColumn("before", before)
+    return found.agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("recency") < F.col("before")).alias("out_of_order"))
+
+
+@query("spoilt_items_checks", """SELECT CAST(0 AS BIGINT) AS unnamed, CAST(0 AS BIGINT) AS wrong_stock, CAST(0 AS BIGINT) AS wrong_days""")
+def spoilt_items_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagged products come with their name, stock and days since the last sale."""
+    retail = open_retail(spark, folder)
+    forest, rows = fitted(spark, folder)
+    found = spoilage.spoilt_items(forest, rows, retail.inventory, retail.products)
+    right = retail.inventory.select("product_id", "quantity").join(retail.products.select("product_id", F.col("name").alias("real")), "product_id")
+    days = rows.select("product_id", F.col("days_since_last_transaction").alias("days"))
+    both = found.join(right, "product_id", "left").join(days, "product_id", "left")
+    differs = lambda a, b: F.count_if(~F.col(a).eqNullSafe(F.col(b)))
+    return both.agg(
+        differs("name", "real").alias("unnamed"), differs("current_inventory", "quantity").alias("wrong_stock"),
+        differs("days_since_last_transaction", "days").alias("wrong_days"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.operators import stock, timeseries
+from stockloom.operators import forecast, stock, timeseries
 from stockloom.plans.registry import query
 from stockloom.plans.sales_queries import CATEGORIES, text_day
 from stockloom.sources.tables import open_retail
@@ -165,9 +165,9 @@ def cumulative_demand(spark: SparkSession, folder: str) -> DataFrame:
 @query("stock_forecast_join", f"""WITH {_DEMAND.strip()}
 SELECT product_id, v.quantity AS current_inventory, round(sum(predicted), 6) AS week FROM demand JOIN inventory v USING (product_id) GROUP BY 1, 2""")
 def stock_forecast_join(spark: SparkSession, folder: str) -> DataFrame:
-    forecast, inventory = mean_demand(spark, folder)
+    demand, inventory = mean_demand(spark, folder)
     return (
-        stock.daily_forecast(forecast).join(stock.one_stock_row(inventory), "product_id")
+        stock.daily_forecast(demand).join(stock.one_stock_row(inventory), "product_id")
         .groupBy("product_id", F.col("quantity").alias("current_inventory"))
         .agg(F.round(F.sum("demand"), 6).alias("week"))
     )
@@ -175,21 +175,23 @@ def stock_forecast_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stockout_day", f"WITH {_DEMAND.strip()} {_ALERT}")
 def stockout_day(spark: SparkSession, folder: str) -> DataFrame:
-    forecast, inventory = mean_demand(spark, folder)
-    return _alert_columns(stock.stockout_day(inventory, forecast))
+    demand, inventory = mean_demand(spark, folder)
+    return _alert_columns(stock.stockout_day(inventory, demand))
 
 
 @query("low_stock", f"WITH {_DEMAND.strip()} {_ALERT} AND days_until_stockout <= 5")
 def low_stock(spark: SparkSession, folder: str) -> DataFrame:
-    forecast, inventory = mean_demand(spark, folder)
-    return _alert_columns(stock.low_stock(inventory, forecast, threshold_days=5))
+    demand, inventory = mean_demand(spark, folder)
+    return _alert_columns(stock.low_stock(inventory, demand, threshold_days=5))
 
 
 @query("forecast_pivot", f"WITH {_DEMAND.strip()} SELECT product_id, " + ", ".join(
     f"round(sum(predicted) FILTER (WHERE day_number = {d}), 6) AS day_{d}" for d in range(1, 8)
 ) + " FROM demand GROUP BY 1")
 def forecast_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """One column per day of the horizon, named by its number."""
-    numbered = stock.cumulative_demand(mean_demand(spark, folder)[0])
-    wide = numbered.groupBy("product_id").pivot("day_number", list(range(1, 8))).agg(F.sum("demand"))
-    return wide.select("product_id", *[F.round(F.coalesce(F.col(str(d)), F.lit(0.0)), 6).alias(f"day_{d}") for d in range(1, 8)])
+    """One column per day of the horizon; the days get their numbers as names."""
+    daily = stock.daily_forecast(mean_demand(spark, folder)[0]).withColumnRenamed("demand", "predicted_sales")
+    days = sorted(r["date"] for r in daily.select("date").distinct().collect())  # as many as the horizon has days
+    wide = forecast.forecast_pivot(daily, days)
+    numbered = [F.round(F.col(f"`{d.isoformat()}`"), 6).alias(f"day_{n}") for n, d in enumerate(days, 1)]
+    return wide.select("product_id", *numbered)

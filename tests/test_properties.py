@@ -239,11 +239,33 @@ def test_nested_json_and_graph_survive_writing(spark, rows):
     assert spark.read.parquet(paths["edges"]).count() == 2
 
 
-def test_long_transactions_are_nested_in_parts(spark):
+def test_long_transactions_are_nested_whole(spark):
     from stockloom.operators import scans
 
     sales = tiny_retail(spark).sales().filter("transaction_id = 2")
-    sales = sales.crossJoin(spark.range(50)).withColumn("quantity", F.col("id")).drop("id")
-    found = scans.nested_transactions(sales, max_rows=10).collect()
-    assert len(found) > 1 and sum(len(r["items"]) for r in found) == 50
-    assert {(r["n_items"], r["total"]) for r in found} == {(50, 9.0 * sum(range(50)))}
+    sales = sales.crossJoin(spark.range(5000)).withColumn("quantity", F.col("id")).drop("id")
+    found = scans.nested_transactions(sales).collect()
+    assert [(len(r["items"]), r["n_items"], r["total"]) for r in found] == [(5000, 5000, 9.0 * sum(range(5000)))]
+
+
+def test_long_itemsets_give_all_their_rules(spark):
+    """An itemset of 21 products: only rules with one product on the right reach the confidence."""
+    products = list(range(21))
+    data = [(products, 21, 9)] + [([x for x in products if x != y], 20, 10) for y in products] + [([x], 1, 29) for x in products]
+    sets = spark.createDataFrame([(*r, 30) for r in data], "items array<long>, k int, support_count long, n_baskets long")
+    rules = mining.association_rules(sets, 0.9).collect()
+    assert sorted(r["consequent"] for r in rules) == [[x] for x in products]
+    assert all(sorted(r["antecedent"] + r["consequent"]) == products and r["confidence"] == 0.9 for r in rules)
+
+
+def test_similar_pairs_are_all_pairs_above_the_threshold(spark):
+    from stockloom.operators import similarity
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.choices(words[: rng.randint(2, 30)], k=rng.randint(1, 12)))) for i in range(120)]
+    vectors = similarity.tfidf(spark.createDataFrame(texts, "id long, text string"))
+    every = {(r["product_id"], r["other_id"]): r["similarity"] for r in similarity.cosine_pairs(vectors).collect()}
+    for threshold, most in ((0.3, 2000), (0.8, 2000), (0.8, 5), (1.0, 3)):
+        found = {(r["id"], r["other_id"]): r["similarity"] for r in similarity.similar_pairs(vectors, threshold, most).collect()}
+        assert found == {p: s for p, s in every.items() if p[0] < p[1] and s >= threshold}

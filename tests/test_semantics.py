@@ -2,12 +2,13 @@
 
 from datetime import date, datetime
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import clean, dates
 from stockloom.functions.quantile import exact_quantile
-from stockloom.functions.skew import with_parts
 from stockloom.functions.text import tokens
 from stockloom.operators import (
     forecast, graph, joins, mining, recommend, sales, scans, segments, similarity, sketches, spoilage,
@@ -115,19 +116,20 @@ def test_big_baskets_give_the_same_pairs(spark, rows):
     assert rows(graph.pair_counts(items, max_basket=4)) == rows(graph.pair_counts(items))
 
 
-def test_big_baskets_come_in_parts(spark):
-    items = lines(spark, [list(range(100)), [1, 2]])
-    found = scans.baskets(items, max_rows=20).collect()
-    big = [r["items"] for r in found if r["transaction_id"] == 0]
-    assert len(big) > 1 and sorted(sum(big, [])) == list(range(100))
-    assert [(r["part"], r["items"]) for r in found if r["transaction_id"] == 1] == [(0, [1, 2])]
+def test_big_baskets_are_one_row(spark):
+    items = lines(spark, [list(range(100)) * 2, [1, 2]])
+    found = {r["transaction_id"]: r["items"] for r in scans.baskets(items).collect()}
+    assert found == {0: list(range(100)), 1: [1, 2]}
 
 
-def test_parts_keep_every_row(spark):
-    items = lines(spark, [[1] * 50 + [2], [3]])
-    found, split = with_parts(items, "transaction_id", ["product_id"], 10)
-    assert split and found.count() == 52
-    assert found.filter("product_id = 1").select("part").distinct().count() == 1
+def test_no_recent_transaction_or_line_is_cut(spark):
+    retail = tiny_retail(spark)
+    many = retail.transactions.filter("transaction_id = 0").crossJoin(spark.range(1500).withColumnRenamed("id", "n"))
+    many = many.withColumn("transaction_id", F.col("n") + 1000).drop("n")
+    lots = dataclasses.replace(retail, transactions=many)
+    assert scans.recent_transactions(lots).count() == 1500
+    one = retail.items.filter("transaction_id = 0").limit(1).crossJoin(spark.range(1500).withColumnRenamed("id", "n")).drop("n")
+    assert scans.transaction_items(dataclasses.replace(retail, items=one)).count() == 1500
 
 
 def brute_rank(edges, nodes, d=0.85, tol=1e-6):
@@ -468,3 +470,64 @@ def test_period_series_of_some_categories_and_days(spark, rows):
     assert {r["period"] for r in sales.sales_by_period(sold, "day", last_days=1).collect()} == {"2024-01-02"}
     wide = sales.sales_pivot(sales.sales_by_period(sold, "month"), ["office", "home"])
     assert wide.columns == ["period", "home", "office"] and rows(wide) == [("2024-01", 4, 4)]
+
+
+def test_sketches_take_any_item(spark):
+    data = [(9 * 10**15, 10), (9 * 10**15 + 10**6, 7), (None, 5), (9 * 10**15, 1)]
+    big = spark.createDataFrame(data, "product_id long, quantity long")
+    sketch = sketches.count_min(big, width=1000, depth=5)
+    found = {r["product_id"]: r["estimate"] for r in sketches.count_min_estimate(big, sketch, width=1000, depth=5).collect()}
+    assert found == {9 * 10**15: 11, 9 * 10**15 + 10**6: 7, None: 5}
+    for hashing in ("modular", "mixed"):
+        assert sketches.count_min(big.na.drop(), width=10, depth=2, hashing=hashing).agg(F.sum("total")).first()[0] == 36
+    assert {(r["item"], r["count"]) for r in sketches.space_saving(big, 5).collect()} == {(9 * 10**15, 11), (9 * 10**15 + 10**6, 7), (None, 5)}
+    texts = spark.createDataFrame([("a", 1.5), ("b", 2.25), (None, 0.5), ("a", 1.0), ("", None)], "word string, w double")
+    got = sketches.space_saving(texts, 5, "word", "w").collect()
+    assert {(r["item"], r["count"], r["error"]) for r in got} == {("a", 2.5, 0.0), ("b", 2.25, 0.0), (None, 0.5, 0.0), ("", 0.0, 0.0)}
+    twice = sketches.merge_space_saving(sketches.space_saving(texts, 5, "word", "w"), sketches.space_saving(texts, 5, "word", "w"), 5)
+    assert {(r["item"], r["count"]) for r in twice.collect()} == {("a", 5.0), ("b", 4.5), (None, 1.0), ("", 0.0)}
+
+
+def test_the_bound_on_time_reaches_the_scan(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1) , i % 3, 1) for i in range(5)]
+    path = str(tmp_path / "lines")
+    spark.createDataFrame(rows, "transaction_id long, timestamp timestamp_ntz, product_id long, quantity long").write.parquet(path)
+    items = spark.read.parquet(path)
+    plans = [
+        ticker.product_totals(ticker.since(items, "hour", 12), "hour"), ticker.top_per_period_filled(items, "day", 7), ticker.transaction_rate(items, 5),
+    ]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        filters = " ".join(part.split("]")[0] for part in text.split("DataFilters: [")[1:])
+        assert "(timestamp#" in filters and ">=" in filters
+
+
+def test_quantile_leaves_out_what_is_no_number(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    assert exact_quantile(df, "v", 0.5) == 2.0
+
+
+def test_overlapping_promotions_count_once(spark):
+    day = datetime(2024, 1, 5)
+    sold = spark.createDataFrame([(1, day, 10.0), (1, day, 10.0), (2, day, 4.0), (1, datetime(2024, 3, 1), 10.0)],
+                                 "product_id long, transaction_date timestamp_ntz, price_per_unit double")
+    spans = [(1, datetime(2024, 1, 1), datetime(2024, 1, 5 + i), 0.9 - i / 100) for i in range(20)]
+    promotions = spark.createDataFrame(spans, "product_id long, start_time timestamp_ntz, end_time timestamp_ntz, discount_factor double")
+    found = joins.promo_price(sold, promotions).collect()
+    assert sorted((r["product_id"], round(r["price"], 6), r["promotion_applied"]) for r in found) == [
+        (1, 7.1, True), (1, 7.1, True), (1, 10.0, False), (2, 4.0, False)
+    ]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_is_a_join(spark, how):
+    from stockloom.functions.skew import hot_join
+
+    table = lambda df: sorted(map(tuple, df.select("k", "v", "w").collect()), key=str)
+
+    left = spark.createDataFrame([(i % 5 if i % 2 else 1, i) for i in range(200)] + [(None, 7), (99, 8)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (50, "e"), (None, "f")], "k long, w string")
+    sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for share in (1.0, 0.1, 0.001):
+        found = hot_join(left, right, ["k"], sizes, ["v"], how, merge=share == 0.1, share=share)
+        assert table(found) == table(left.join(right, "k", how))
