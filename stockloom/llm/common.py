@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from stockloom.functions.skew import hot_join
 from stockloom.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,9 +14,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TWINS: dict[str, str] = {}
 
-#: A key with more than this share of all rows is split, so at most 1000 keys are.
-HOT_SHARE = 0.001
-
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, and its SQL where SQL can express it."""
@@ -46,22 +44,11 @@ def words_of(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, spread: list[str], how: str) -> DataFrame:
-    """Join ``left`` with a stored table of one row per key, splitting the keys that many rows share.
-
-    ``right[rows]`` is the number of rows of ``left`` with that key. Keys above HOT_SHARE of all
-    rows (1000 at most, so that list is broadcast) are dealt over as many salts as they exceed it,
-    by a hash of ``spread``; ``right`` repeats its row for each salt. Null keys match nothing.
-    """
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    fair = max(1.0, total * HOT_SHARE)
-    salts = F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(fair))).cast("int")
-    hot = right.filter(F.col(rows) > fair).select(*keys, salts.alias("_salts"))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
-    )
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.drop("_salts").join(copies.drop(rows), [*keys, "_salt"], how).drop("_salt")
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], rows: str, spread: list[str], how: str, merge: bool = False
+) -> DataFrame:
+    """``hot_join`` with a stored table of one row per key that tells, in ``rows``, how many rows of ``left`` have that key."""
+    return hot_join(left, right.drop(rows), keys, right.select(*keys, F.col(rows).alias("n")), spread, how, merge)
 
 
 def fresh(df: DataFrame, names: list[str]) -> dict[str, str]:

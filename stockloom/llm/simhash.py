@@ -2,9 +2,10 @@
 
 A document's fingerprint has 64 bits, each the majority of that bit in the hashes of its word
 shingles. Fingerprints link if they differ in at most two bits. The fingerprint is cut into two
-segments, so that of a linked pair one segment differs by one bit at most. Each segment is indexed
-as it is and once for each of its bits left out; a pair that links shares one of these variants,
-so the pairs are found by equality and then verified over all 64 bits.
+segments, so that of a linked pair one segment differs by one bit at most. Segments are indexed
+as they are and once for each bit left out; a pair that links shares one of these variants,
+so the pairs are found by equality and then verified over all 64 bits. With two bits, gaps of one
+segment are enough: what differs by one bit in either segment is found there.
 
 Rows of one fingerprint are folded before anything is joined, and come back at the end. A variant
 that more than ``dense`` fingerprints share isn't paired: its members get variants of the other
@@ -82,27 +83,39 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def variants(prints: DataFrame) -> DataFrame:
-    """(segment, gap, value, fp): each segment whole (gap -1) and with each of its bits left out."""
-    segment, gap = F.col("segment"), F.col("gap")
-    own = F.when(segment == 0, half(F.col("fp"), 0)).otherwise(half(F.col("fp"), 1))
-    masked = F.when(gap < 0, own).otherwise(own.bitwiseAND(F.bitwise_not(bit(F.greatest(gap, F.lit(0))))))
-    return (
-        prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment"))
-        .select("fp", "segment", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("gap"))
-        .select("segment", "gap", masked.alias("value"), "fp")
-    )
+def variants(prints: DataFrame, max_distance: int) -> DataFrame:
+    """(variant, fp): each segment whole, and the first with each of its bits left out.
+
+    A pair that differs in one bit of either segment meets in a gap of the first already, so gaps
+    of the second would only find it again; at a distance of 1 one segment is equal, and whole
+    segments do. A variant packs the segment, its gap plus one (0: whole) and the bits that are left.
+    """
+    first, second = half(F.col("fp"), 0), half(F.col("fp"), 1)
+    name = lambda segment, gap: F.lit((segment << 38) | ((gap + 1) << 32))
+    found = [first.bitwiseOR(name(0, -1)), second.bitwiseOR(name(1, -1))]
+    if max_distance == 2:
+        found += [first.bitwiseAND(F.lit(((1 << 32) - 1) & ~(1 << gap))).bitwiseOR(name(0, gap)) for gap in range(32)]
+    return prints.select(F.explode(F.array(*found)).alias("variant"), "fp")
+
+
+def segment_of(variant: Column) -> Column:
+    return F.shiftright(variant, 38)
+
+
+def gap_of(variant: Column) -> Column:
+    """The bit left out, -1 if none is."""
+    return F.shiftright(variant, 32).bitwiseAND(F.lit(63)) - 1
 
 
 def pair_links(members: DataFrame, max_distance: int) -> DataFrame:
-    """Links within variants of few members. A gap counts only for pairs that differ there, as
+    """Links within the variants of few members. A gap counts only for pairs that differ there, as
     pairs equal in the segment meet in the whole one."""
-    groups = members.groupBy("segment", "gap", "value").agg(F.collect_list("fp").alias("fps"))
+    groups = members.groupBy("variant").agg(F.collect_list("fp").alias("fps"))
     near = F.filter("fps", lambda x: (x > F.col("a")) & (distance(x, F.col("a")) <= max_distance))
-    pairs = groups.select("segment", "gap", F.explode("fps").alias("a"), "fps").select("segment", "gap", "a", F.explode(near).alias("b"))
-    at = F.lit(32) * F.col("segment") + F.greatest(F.col("gap"), F.lit(0))
-    differ = F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(bit(at)) != 0
-    return pairs.filter((F.col("gap") < 0) | differ).select("a", "b")
+    pairs = groups.select("variant", F.explode("fps").alias("a"), "fps").select("variant", "a", F.explode(near).alias("b"))
+    gap = gap_of(F.col("variant"))
+    differ = F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(bit(F.greatest(gap, F.lit(0)))) != 0
+    return pairs.filter((gap < 0) | differ).select("a", "b")
 
 
 def star_links(members: DataFrame, max_distance: int) -> DataFrame:
@@ -115,13 +128,13 @@ def star_links(members: DataFrame, max_distance: int) -> DataFrame:
     two = [(1 << i) | (1 << j) for i in range(32) for j in range(i)]
     masks = {0: [0], 1: one, 2: two}
     array = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
-    mask = F.when(F.col("gap") < 0, array(masks[max_distance])).otherwise(array(masks[max_distance - 1]))
-    rest = F.when(F.col("segment") == 1, half(F.col("fp"), 0)).otherwise(half(F.col("fp"), 1))
-    key = ["segment", "gap", "value", "mask", "rest"]
-    double = members.select("segment", "gap", "value", "fp", rest.alias("rest"), F.explode(mask).alias("mask")).select(
-        "segment", "gap", "value", "mask", F.col("rest").bitwiseAND(F.bitwise_not("mask")).alias("rest"), "fp"
+    variant = F.col("variant")
+    mask = F.when(gap_of(variant) < 0, array(masks[max_distance])).otherwise(array(masks[max_distance - 1]))
+    rest = F.when(segment_of(variant) == 1, half(F.col("fp"), 0)).otherwise(half(F.col("fp"), 1))
+    double = members.select("variant", "fp", rest.alias("rest"), F.explode(mask).alias("mask")).select(
+        "variant", "mask", F.col("rest").bitwiseAND(F.bitwise_not("mask")).alias("rest"), "fp"
     )
-    stars = double.groupBy(*key).agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps"))
+    stars = double.groupBy("variant", "mask", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps"))
     return stars.select("a", F.explode("fps").alias("b")).filter("a < b")
 
 
@@ -130,9 +143,9 @@ def links(prints: DataFrame, max_distance: int = 2, dense: int = 64) -> DataFram
     less, so many that all such pairs are joined by a path. ``dense`` changes the work, not the result."""
     if max_distance not in (1, 2):
         raise ValueError("two segments with one gap each serve distances of 1 and 2")
-    key = ["segment", "gap", "value"]
-    sizes = variants(prints).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n"))
-    members = stored(salted_join(variants(prints), stored(sizes, "variants"), key, "n", ["fp"], "inner"), "members")
+    indexed = variants(prints, max_distance)
+    sizes = indexed.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n"))
+    members = stored(salted_join(indexed, stored(sizes, "variants"), ["variant"], "n", ["fp"], "inner", merge=True), "members")
     few = pair_links(members.filter(F.col("size") <= dense), max_distance)
     return few.unionByName(star_links(members.filter(F.col("size") > dense), max_distance)).distinct()
 
@@ -188,9 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, de
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, dense: int = 64) -> DataFrame:
     """The first document of each component, as a whole row; of rows equal in doc_id and text one stays."""
     least = groups(docs, shingle, max_distance, dense)[2]
-    first = least.select(F.col("first.doc_id").alias("_first"), F.col("first.copy").alias("_copy"))
-    copy = fresh(docs, ["copy"])["copy"]
-    same = F.col("doc_id").eqNullSafe(F.col("_first")) & F.col(copy).eqNullSafe(F.col("_copy"))
+    copy, of_doc, of_copy = fresh(docs, ["copy", "of_doc", "of_copy"]).values()
+    first = least.select(F.col("first.doc_id").alias(of_doc), F.col("first.copy").alias(of_copy))
+    same = F.col("doc_id").eqNullSafe(F.col(of_doc)) & F.col(copy).eqNullSafe(F.col(of_copy))
     return docs.withColumn(copy, F.xxhash64("text")).join(first, same, "left_semi").dropDuplicates(["doc_id", copy]).select(*docs.columns)
 
 
