@@ -4,9 +4,11 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stockloom.llm.queries import QUERIES, TWINS
+from tests.llm.edge import CLASHES, LONG, documents
 from tests.llm.test_decontaminate import plain as plain_leaks
 from tests.llm.test_line_dedup import expected as plain_lines
 from tests.llm.test_packing import TOKENIZER, check_places
@@ -84,6 +86,34 @@ def test_packing_holds_every_token(stages):
     assert made == want
 
 
+AWKWARD = [
+    (None, "no id"), (None, None), (1, None), (2, ""), (3, "  "), (4, LONG), (5, LONG), (6, "again again again"), (6, "again again again"),
+    (7, "same id, one text"), (7, "same id, another text"), (8, "!!! 🙂 漢字"),
+]
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_awkward_rows_and_empty_tables(spark, name, stage):
+    docs = documents(spark, AWKWARD).withColumn("source", F.lit(None).cast("string"))
+    got = stage(spark, docs, FOLDER)
+    rows = got.collect()
+    none = stage(spark, docs.filter(F.lit(False)), FOLDER)
+    assert none.columns == got.columns and none.count() == 0
+    if name == "packing":
+        check_places([r.length for r in rows], [(r.length, r.sequence_id, r.offset) for r in rows], 1024)
+        assert len({(r.doc_id, r.sequence_id, r.offset) for r in rows if r.piece == 0}) == len(AWKWARD)
+        return
+    assert got.columns == docs.columns and all(r[c] == f"kept {c}" for r in rows for c in CLASHES)
+    left = sorted(((r.doc_id, r.text) for r in rows), key=str)
+    if name in ("toxicity", "decontamination"):  # nothing is labelled, nothing is leaked
+        assert left == sorted(AWKWARD, key=str)
+    elif name == "line_dedup":
+        assert left == sorted([(i, "" if i == 5 else t) for i, t in AWKWARD], key=str)
+    else:
+        kept = [(None, "no id"), (1, None), (4, LONG), (6, "again again again"), (7, "same id, another text"), (7, "same id, one text"), (8, "!!! 🙂 漢字")]
+        assert left == sorted(kept, key=str)
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(TWINS) <= set(QUERIES)
 
