@@ -26,7 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from xxhash import xxh64_intdigest
 
 from stockloom.llm.common import fresh, query, salted_join, stored, table
@@ -201,10 +201,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, de
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, dense: int = 64) -> DataFrame:
     """The first document of each component, as a whole row; of rows equal in doc_id and text one stays."""
     least = groups(docs, shingle, max_distance, dense)[2]
-    copy, of_doc, of_copy = fresh(docs, ["copy", "of_doc", "of_copy"]).values()
-    first = least.select(F.col("first.doc_id").alias(of_doc), F.col("first.copy").alias(of_copy))
-    same = F.col("doc_id").eqNullSafe(F.col(of_doc)) & F.col(copy).eqNullSafe(F.col(of_copy))
-    return docs.withColumn(copy, F.xxhash64("text")).join(first, same, "left_semi").dropDuplicates(["doc_id", copy]).select(*docs.columns)
+    names = fresh(docs, ["unnamed", "doc", "copy", "place"])
+    key = [names[k] for k in ("unnamed", "doc", "copy")]
+    of = lambda doc_id, copy: dict(zip(key, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), copy)))
+    first = least.select(*(c.alias(n) for n, c in of(F.col("first.doc_id"), F.col("first.copy")).items()))
+    kept = docs.withColumns(of(F.col("doc_id"), F.xxhash64("text"))).join(first, key, "left_semi")
+    # numbered within the keys of the join, so that the rows are dealt out once
+    ranked = kept.withColumn(names["place"], F.row_number().over(W.partitionBy(*key).orderBy(names["copy"])))
+    return ranked.filter(F.col(names["place"]) == 1).select(*docs.columns)
 
 
 @query("op9_simhash")
