@@ -62,9 +62,8 @@ def co_purchase_graph(items: DataFrame, max_basket: int = 1000, store: bool = Fa
     many times.
     """
     pairs = pair_counts(items, max_basket)
-    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(
-        pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")
-    )
+    both = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("a", "b"), ("b", "a"))])
+    edges = pairs.select(F.inline(both), "weight")
     edges = cut_lineage(edges) if store else edges
     # A product of a basket with another product has an edge. What is left are products whose
     # transaction holds several lines of nothing else.
@@ -112,13 +111,23 @@ def page_rank(
         )
         .persist()
     )
-    counts = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
-    n, lost = counts[0], counts[1]
+    held = [shares, nodes]
+    try:
+        return _iterate(shares, nodes, held, damping, max_iter, tol, store_every)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _iterate(
+    shares: DataFrame, nodes: DataFrame, held: list[DataFrame], damping: float, max_iter: int, tol: float, store_every: int
+) -> DataFrame:
+    """Rounds of PageRank until they settle. What is cached is in ``held``, for the caller to release."""
+    n, lost = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
     if n == 0:
-        return nodes.select("product_id", F.lit(0.0).alias("rank"))
+        return cut_lineage(nodes.select("product_id", F.lit(0.0).alias("rank")))
     state = nodes.withColumn("rank", F.lit(1.0 / n))
     loose = lost / n
-    held: list[DataFrame] = []
     for step in range(1, max_iter + 1):
         every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
         senders = state.select(F.col("product_id").alias("src"), "rank", every_part.alias("part"))
@@ -138,20 +147,19 @@ def page_rank(
             )
             .withColumn("rank", F.lit(base) + F.lit(damping) * F.col("got"))
         )
+        before = held[2:]
         turned = cut_lineage(turned) if step % store_every == 0 else turned.persist()
+        held.append(turned)
         change, loose = turned.agg(
             F.sum(F.abs(F.col("rank") - F.col("old"))),
             F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)),
         ).first()
-        for df in held:
+        for df in before:
             df.unpersist()
-        held = [turned]
+        del held[2:-1]
         state = turned.select("product_id", "parts", "dangling", "rank")
         if change < n * tol:
-            result = cut_lineage(state.select("product_id", "rank"))
-            for df in (*held, shares, nodes):
-                df.unpersist()
-            return result
+            return cut_lineage(state.select("product_id", "rank"))
     raise RuntimeError(f"PageRank did not converge in {max_iter} rounds")
 
 

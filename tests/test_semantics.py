@@ -531,3 +531,14 @@ def test_hot_join_is_a_join(spark, how):
     for share in (1.0, 0.1, 0.001):
         found = hot_join(left, right, ["k"], sizes, ["v"], how, merge=share == 0.1, share=share)
         assert table(found) == table(left.join(right, "k", how))
+
+
+def test_caches_are_released(spark):
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = cached()
+    bought = graph.co_purchase_graph(lines(spark, [[1, 2], [2, 3, 4], [1, 4]]))
+    assert graph.page_rank(bought).count() == 4
+    with pytest.raises(RuntimeError):
+        graph.page_rank(bought, max_iter=1, tol=0.0)
+    assert graph.page_rank(graph.Graph(bought.nodes.filter("false"), bought.edges.filter("false"))).count() == 0
+    assert cached() == before
