@@ -88,9 +88,9 @@ class StreamPanel:
 
 
 def stream_panel(items: DataFrame, top_n: int = 10, hours: int = 12, algorithm: str = "space_saving") -> StreamPanel:
-    """The three datasets of the live page."""
+    """The three datasets of the live page: the first ``top_n`` products, all categories, and the last hours."""
     return StreamPanel(
         sketches.frequent_products(items, top_n, algorithm),
-        sketches.category_totals(items, top_n),
+        sketches.category_totals(items),
         ticker.hourly_series(items, hours),
     )

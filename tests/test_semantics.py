@@ -464,6 +464,11 @@ def test_live_page_datasets(spark, rows):
     assert panel.hourly.agg(F.sum("units")).first()[0] == 12
 
 
+def test_live_page_lists_all_categories(spark, rows):
+    items = events(spark, [(i, datetime(2024, 1, 1, 8, i), i % 3, f"c{i:02}", 1) for i in range(13)])
+    assert rows(report.stream_panel(items).categories) == [(f"c{i:02}", 1) for i in range(13)]
+
+
 def test_period_series_of_some_categories_and_days(spark, rows):
     sold = tiny_retail(spark).sales()
     assert rows(sales.sales_by_period(sold, "day", categories=["home"])) == [("2024-01-02", "home", 4)]
