@@ -73,6 +73,14 @@ def test_bad_hosts_are_blocked_and_their_likes_without_labels(spark):
     assert all((r.verdict == "block") == ("spam" in r.url) for r in got)
 
 
+def test_hosts_with_mostly_bad_pages_are_blocked_at_the_limits_of_the_query(spark):
+    urls = [f"http://h{h}.d{h}.org/en/{i}" for h in range(8) for i in range(30)]
+    told = [(u, int(i % 30 < (26 if i < 60 else 3))) for i, u in enumerate(urls)]
+    got = url_filter.filter_urls(pages_of(spark, urls), outcomes_of(spark, told), RULES, limit=0.5, z=1.645).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {"h0.d0.org", "h1.d1.org"}
+    assert all(r.rule is None and (r.verdict == "block") == (r.bad_share_bound is not None) for r in got)
+
+
 def test_labels_reach_pages_by_the_number_in_the_url(spark):
     pages = pages_of(spark, ["http://a.org/en/12?x", "http://a.org/en/13.html", "http://a.org/en/14x", "http://a.org/12", None, "http://a.org/de/12/"])
     labels = spark.createDataFrame([(12, 1, 0), (12, 1, 1), (13, 1, 0), (14, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
