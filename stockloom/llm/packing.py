@@ -11,12 +11,14 @@ rank in its task plus the pieces of that length in the tasks before.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each for
 itself; a null doc_id is kept; an empty table packs into no sequences; other columns are ignored.
-Special tokens spelled out in a text count as those tokens, as ``tokenizers`` reads them.
+Special tokens spelled out in a text count as those tokens, as ``tokenizers`` reads them. Texts of
+any length, and runs of any one kind of character, are taken whole.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -30,6 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stockloom.llm.common import query, stored, table
 
+#: What the patterns of public vocabularies call white space, as Unicode does.
+WHITE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters of white space in a row that the pattern engine can't take back one by one.
+LONG_GAP = 100_000
+
 #: Slots of lengths below this many bits of rank.
 RANK_BITS = 44
 
@@ -42,6 +49,29 @@ def encoder(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...]
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
 
 
+@cache
+def long_gap(least: int) -> re.Pattern:
+    return re.compile(f"(?<![{WHITE}])[{WHITE}]{{{least},}}+")
+
+
+def token_ids(encoding: tiktoken.Encoding, text: str, least: int = LONG_GAP) -> np.ndarray:
+    """Ids of a text. Runs of white space of ``least`` characters or more, for which the pattern engine has no
+    room, are cut out where a match must end: before the run and before its last character, which belongs to
+    what follows; a run at the end goes as a whole."""
+    if len(text) < least or not long_gap(least).search(text):
+        return encoding.encode_to_numpy(text, allowed_special="all")
+    marks = sorted(encoding.special_tokens_set, key=len, reverse=True)
+    out: list[np.ndarray | list[int]] = []
+    for part in re.split(f"({'|'.join(map(re.escape, marks))})", text) if marks else [text]:
+        at = 0
+        for gap in () if part in marks else long_gap(least).finditer(part):
+            end = gap.end() if gap.end() == len(part) else gap.end() - 1
+            out += [encoding.encode_to_numpy(part[at : gap.start()], allowed_special="all"), encoding._encode_single_piece(part[gap.start() : end])]
+            at = end
+        out.append(encoding.encode_to_numpy(part[at:], allowed_special="all"))
+    return np.concatenate([np.asarray(x, np.uint32) for x in out])
+
+
 def token_pieces(
     docs: DataFrame, size: int, end_id: int, ranks_path: str, pattern: str, specials: dict[str, int]
 ) -> DataFrame:
@@ -50,14 +80,14 @@ def token_pieces(
     known = tuple(sorted(specials.items()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern, known).encode_to_numpy
+        encoding = encoder(ranks_path, pattern, known)
         task, ranks = TaskContext.get().partitionId(), Counter()
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 at, piece, start, length, ids, rank = [], [], [], [], [], []
                 for row, text in enumerate(batch.column("text")):
-                    tokens = np.append(encode(text.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(end_id)).astype("<u4")
+                    tokens = np.append(token_ids(encoding, text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                     cuts = range(len(tokens) % size or size, len(tokens) + 1, size) if len(tokens) > size else [len(tokens)]
                     lo_token = 0
                     for k, hi_token in enumerate(cuts):

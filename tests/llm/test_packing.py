@@ -97,3 +97,34 @@ def test_ids_are_those_of_tokenizers_for_all_characters(spark):
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("least", [2, 3, 7])
+def test_long_gaps_are_cut_where_matches_end(least):
+    rng = random.Random(least)
+    encoding = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+    bits = [" ", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", "　", "a", "word", "7", "!", "é", "<|endoftext|>", "'s"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
+        assert packing.token_ids(encoding, text, least).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x85", "\xa0", " ", "　", " \n"])
+def test_millions_of_white_characters(white):
+    encoding = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+    n = 1_000_000 // len(white)
+    run = encoding._encode_single_piece
+    assert packing.token_ids(encoding, white * n).tolist() == run(white * n)
+    both = packing.token_ids(encoding, "x" + white * n + "y").tolist()
+    assert both == [*encoding.encode("x"), *run((white * n)[:-1]), *encoding.encode(white[-1] + "y")]
+    if white in " \n":
+        assert both == TOKENIZER.encode("x" + white * n + "y", add_special_tokens=False).ids
+
+
+def test_five_million_of_one_character_are_packed(spark):
+    n = 5_000_000
+    rows = [(1, " " * n), (2, "a" + "\n" * n), (3, "\t" * n + "<|endoftext|> b"), (4, "7" * n), (5, "b" * n), (6, "!" * n)]
+    got = packing.pack(documents(spark, rows), with_ids=False).groupBy("doc_id").sum("length").collect()
+    counts = {r[0]: r[1] for r in got}
+    assert (counts[1], counts[2], counts[3]) == (n + 1, 1 + n // 2 + 1, n + 3)
+    assert set(counts) == {1, 2, 3, 4, 5, 6}
