@@ -1,19 +1,14 @@
 """Repeated lines across documents, by winnowing.
 
-A window is the shortest run of lines from a line on that has at least ``min_words`` words. Blank
-lines are left out of runs. Of every window the least line hash is selected, so two texts that
-share a run of ``min_words`` words share a selected line: a fingerprint that can't be missed.
-Positions of equal fingerprints are joined, and only windows around fingerprints that occur more
-than once go on. There the match is extended both ways to the whole window, which is compared by
-128 bits of hash over its lines. A window that occurred before, at an earlier line or in a document
-with a smaller doc_id, is a repeat; windows that overlap or touch make up one run, and runs of
-repeats are deleted. The first occurrence of every line stays somewhere.
-
-Lines at the end of a repeated run from which fewer than ``min_words`` words follow begin no window, so
-they stay. With ``whole``, the shortest runs that end with each line are compared too, and pairs of
-lines that are windows each: together they cover every run of ``min_words`` words or more that
-occurred before, at whatever place, and the blank lines inside. The query and the pipeline leave it
-off: the query's SQL states the rule without.
+A run is a stretch of lines, blank ones left out, and counts from ``min_words`` words on. Windows are the
+shortest runs that begin with a line, the shortest that end with a line, and pairs of lines that are long
+enough each: together they cover every run with the blank lines inside. Of every window the least line hash is
+selected, so two texts that share a window share a selected line: a fingerprint that can't be
+missed. Positions of equal fingerprints are joined, and only windows around fingerprints that occur
+more than once go on. There the match is extended both ways to the whole window, which is compared
+by 128 bits of hash over its lines. A window that occurred before, at an earlier line or in a
+document with a smaller doc_id, is a repeat; repeats that overlap or touch make up one run, from its first
+line to its last, and runs are deleted. The first occurrence of every line stays somewhere.
 
 Only DataFrame functions are used. Defined cases: a null text stays null and has no lines; an empty
 text stays empty; a document all of whose lines repeat becomes empty; rows equal in doc_id and text
@@ -31,11 +26,8 @@ from stockloom.llm.common import fresh, query, salted_join, stored, table, words
 KEY = ["doc_id", "copy"]
 
 
-def windows(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
-    """doc_id, copy, start and end (lines, both in), print (least line hash), at (its line) and the two content hashes.
-
-    ``whole``: also the shortest runs that end with a line, and pairs of lines that are long enough each.
-    """
+def windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, copy, start and end (lines, both in), print (least line hash), at (its line) and the two content hashes."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
     facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), words_of(x).alias("w")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(facts).alias("line", "f"))
@@ -48,16 +40,12 @@ def windows(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     cut = F.filter(F.col("run"), lambda x: x["p"] < F.col("p") + min_words)
     least = F.array_min(F.transform("cut", lambda x: F.struct(x["h"], (-x["line"]).alias("back"))))
     first, last = F.element_at("cut", 1), F.element_at("cut", -1)
-    runs = so_far.withColumn("run", run)
-    if whole:
-        back = F.filter(F.col("back"), lambda x: before(x) - x["w"] < min_words)
-        # what also is the shortest run from its first line on is left to that
-        back = F.when(before(F.element_at(back, 1)) - F.col("w") >= min_words, back)
-        pair = F.when((F.col("w") >= min_words) & (F.get(F.col("run")["w"], F.lit(1)) >= min_words), F.slice("run", 1, 2))
-        runs = runs.withColumn("back", F.collect_list(line).over(order.rowsBetween(1 - min_words, 0)))
-        runs = runs.select(*KEY, F.explode(F.array(cut, back, pair)).alias("cut")).filter("cut is not null")
-    else:
-        runs = runs.withColumn("cut", cut)
+    back = F.filter(F.col("back"), lambda x: before(x) - x["w"] < min_words)
+    # what also is the shortest run from its first line on is left to that
+    back = F.when(before(F.element_at(back, 1)) - F.col("w") >= min_words, back)
+    pair = F.when((F.col("w") >= min_words) & (F.get(F.col("run")["w"], F.lit(1)) >= min_words), F.slice("run", 1, 2))
+    runs = so_far.withColumns({"run": run, "back": F.collect_list(line).over(order.rowsBetween(1 - min_words, 0))})
+    runs = runs.select(*KEY, F.explode(F.array(cut, back, pair)).alias("cut")).filter("cut is not null")
     hashes = F.transform("cut", lambda x: x["h"])
     return (
         runs.withColumn("first", first).withColumn("last", last)
@@ -69,10 +57,10 @@ def windows(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     """Windows that occurred before: doc_id, copy, start, end."""
     selected = stored(
-        windows(docs, min_words, whole).groupBy(*KEY, "at", "print").agg(F.collect_list(F.struct("start", "end", "c1", "c2")).alias("around")), "prints"
+        windows(docs, min_words).groupBy(*KEY, "at", "print").agg(F.collect_list(F.struct("start", "end", "c1", "c2")).alias("around")), "prints"
     )
     often = stored(selected.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-prints")
     spots = salted_join(selected, often, ["print"], "n", [*KEY, "at"], "inner")
@@ -85,12 +73,12 @@ def repeats(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     return later.filter(place > F.col("first")).select(*KEY, "start", "end")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 50, whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Runs of lines to delete, one row per document: doc_id, copy, runs (start and end line, both in, in order)."""
     order = W.partitionBy(*KEY).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("start") > F.coalesce(reach, F.lit(-1)) + 1, 1).otherwise(0)
-    islands = repeats(docs, min_words, whole).withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    islands = repeats(docs, min_words).withColumn("new", new).withColumn("run", F.sum("new").over(order))
     runs = islands.groupBy(*KEY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
@@ -107,12 +95,12 @@ def kept_lines(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["lo"] + 1, F.greatest(g["hi"] - g["lo"], F.lit(0)))))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, whole: bool = False) -> tuple[DataFrame, dict[str, str]]:
+def dedup_lines(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` without repeated runs in ``text``, and columns for n_lines, n_removed and the removed
-    runs; and the names those columns got, as ``docs`` may use any. ``whole``: runs go to their last line."""
+    runs; and the names those columns got, as ``docs`` may use any."""
     names = fresh(docs, ["n_lines", "n_removed", "runs", "copy", "of_doc", "of_copy", "found"])
     copy, of_doc, of_copy, found = (names.pop(x) for x in ("copy", "of_doc", "of_copy", "found"))
-    runs = repeated_runs(docs.select("doc_id", "text"), min_words, whole).select(
+    runs = repeated_runs(docs.select("doc_id", "text"), min_words).select(
         F.col("doc_id").alias(of_doc), F.col("copy").alias(of_copy), F.col("runs").alias(found)
     )
     lines = F.split("text", "\n")
@@ -137,19 +125,19 @@ l AS (
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM raw WHERE text IS NOT NULL))),
 f AS (SELECT *, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM l WHERE x <> ''),
 p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY line) - w AS p FROM f),
-r AS (SELECT doc_id, line, p, list({'x': x, 'line': line, 'p': p, 'w': w}) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run FROM p),
-c AS (SELECT doc_id, line, p, list_filter(run, lambda e: e.p < p + 50) AS cut FROM r),
+r AS (
+  SELECT doc_id, line, p, w, list({'x': x, 'line': line, 'p': p, 'w': w}) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ahead,
+    list({'x': x, 'line': line, 'p': p, 'w': w}) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS behind FROM p),
+c AS (
+  SELECT doc_id, list_filter(ahead, lambda e: e.p < p + 50) AS cut FROM r
+  UNION ALL SELECT doc_id, list_filter(behind, lambda e: p + w - e.p - e.w < 50) FROM r
+  UNION ALL SELECT doc_id, ahead[1:2] FROM r WHERE w >= 50 AND ahead[2].w >= 50),
 win AS (
-  SELECT doc_id, line AS s, cut[len(cut)].line AS e, list_transform(cut, lambda e: e.x) AS content
-  FROM c WHERE cut[len(cut)].p + cut[len(cut)].w >= p + 50),
+  SELECT DISTINCT doc_id, cut[1].line AS s, cut[len(cut)].line AS e, list_transform(cut, lambda e: e.x) AS content
+  FROM c WHERE cut[len(cut)].p + cut[len(cut)].w >= cut[1].p + 50),
 later AS (
   SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS k FROM win) WHERE k > 1),
-gone AS (
-  SELECT DISTINCT doc_id, line FROM (
-    SELECT doc_id, unnest(range(s, e + 1)) AS line FROM later
-    UNION ALL
-    SELECT doc_id, unnest(range(e + 1, CAST(n AS BIGINT))) FROM (
-      SELECT doc_id, e, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM later) WHERE n = e + 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS line FROM later),
 kept AS (
   SELECT doc_id, string_agg(y, chr(10) ORDER BY i) AS text
   FROM (SELECT doc_id, i - 1 AS i, lines[i] AS y

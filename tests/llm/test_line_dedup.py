@@ -5,23 +5,27 @@ from tests.llm.edge import CLASHES, LONG, documents
 
 
 def brute(rows, least):
-    """Lines to delete of each row, by the definition."""
-    seen, gone = {}, {}
+    """Lines to delete of each row: every two equal lines are aligned and the match extended both ways."""
     order = lambda r: (r[0] is not None, r[0] or 0)
-    for doc, text in sorted({r for r in rows if r[1] is not None}, key=order):
-        lines = [(i, x.strip(" ")) for i, x in enumerate(text.split("\n"))]
-        lines = [(i, x, x.count(" ") + 1) for i, x in lines if x]
-        for a in range(len(lines)):
-            total = 0
-            for b in range(a, len(lines)):
-                total += lines[b][2]
-                if total >= least:
-                    content = tuple(x for _, x, _ in lines[a : b + 1])
-                    spots = seen.setdefault(content, [])
-                    if spots:
-                        gone.setdefault((doc, text), set()).update(range(lines[a][0], lines[b][0] + 1))
-                    spots.append((doc, a))
-                    break
+    flat, where, gone = [], {}, {}
+    for row in sorted({r for r in rows if r[1] is not None}, key=order):
+        for i, x in enumerate(row[1].split("\n")):
+            x = x.strip(" ")
+            if x:
+                where.setdefault(x, []).append(len(flat))
+                flat.append((row, i, x, x.count(" ") + 1))
+    same = lambda a, b, k: (  # noqa: E731  whether the lines k further on lie in the same documents and are equal
+        min(a, b) + k >= 0 and max(a, b) + k < len(flat) and flat[a + k][0] == flat[a][0] and flat[b + k][0] == flat[b][0] and flat[a + k][2] == flat[b + k][2]
+    )
+    for spots in where.values():
+        for n, later in enumerate(spots):
+            for earlier in spots[:n]:
+                if not same(earlier, later, -1):
+                    k = 0
+                    while same(earlier, later, k + 1):
+                        k += 1
+                    if sum(x[3] for x in flat[later : later + k + 1]) >= least:
+                        gone.setdefault(flat[later][0], set()).update(range(flat[later][1], flat[later + k][1] + 1))
     return gone
 
 
@@ -35,10 +39,11 @@ def expected(rows, least):
 
 def test_random_texts_against_definition(spark):
     rng = random.Random(3)
-    lines = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(9)]
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 3, 5, 9]))) for _ in range(9)] + ["", "  "]
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 14)))) for i in range(60)]
-    got, names = line_dedup.dedup_lines(documents(spark, rows), min_words=8)
-    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == expected(rows, 8)
+    got = line_dedup.dedup_lines(documents(spark, rows), min_words=8)[0].collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == expected(rows, 8)
+    assert sorted((r.doc_id, r.text) for r in got) == whole_runs(rows, 8)
 
 
 def test_awkward_rows(spark):
@@ -90,22 +95,14 @@ def whole_runs(rows, least):
     return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if (d, t, i) not in gone)) for d, t in rows)
 
 
-def test_whole_runs_of_random_texts(spark):
-    rng = random.Random(7)
-    lines = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 3, 5, 9]))) for _ in range(9)] + ["", "  "]
-    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 14)))) for i in range(60)]
-    got = line_dedup.dedup_lines(documents(spark, rows), min_words=8, whole=True)[0].collect()
-    assert sorted((r.doc_id, r.text) for r in got) == whole_runs(rows, 8)
-
-
 def test_a_whole_run_goes_with_its_short_end(spark):
     long, x, y = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("l", 60), ("x", 20), ("y", 20)))
     rows = [(1, f"{long}\n{x}"), (2, f"{long}\n\n{x}\n{y}"), (3, f"own\n{long}\n{x}\n{y}\nend"), (4, f"{long}\n\n{x}\n{y}"), (5, f"{x}\n{y}")]
-    got = line_dedup.dedup_lines(documents(spark, rows), min_words=50, whole=True)[0].collect()
+    got = line_dedup.dedup_lines(documents(spark, rows), min_words=50)[0].collect()
     assert {r.doc_id: r.text for r in got} == {1: f"{long}\n{x}", 2: y, 3: "own\nend", 4: "", 5: f"{x}\n{y}"}
 
 
 def test_whole_runs_keep_blank_lines_only_around_them(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
-    got = line_dedup.dedup_lines(documents(spark, [(1, f"{a}\n\n{b}"), (2, f"x\n\n{a}\n\n\n{b}\n\ny")]), min_words=50, whole=True)[0].collect()
+    got = line_dedup.dedup_lines(documents(spark, [(1, f"{a}\n\n{b}"), (2, f"x\n\n{a}\n\n\n{b}\n\ny")]), min_words=50)[0].collect()
     assert {r.doc_id: r.text for r in got}[2] == "x\n\n\ny"
