@@ -3,13 +3,15 @@
 A vector is cut into segments, each summed up by its mean and deviation. For two vectors the part
 of the inner product within a segment is at most its length times the product of the means plus
 the product of the deviations, which is the same as a lower bound of their distance there. Bounds
-are taken over one segment, then over more and more; a pair goes on only while its bound reaches
-the query's fifth-best score so far, and the scores of those left are computed exactly.
+are taken over one segment, then over more and more, at last over single components for a half and
+three quarters of the vector and pairs for the rest; a pair goes on only while its bound reaches the query's
+k-th best score so far, and the scores of those left are computed exactly, pair by pair once few are left.
 
-The queries are a stated set and are taken in blocks of ``block`` vectors, a size that memory bounds,
-each broadcast for one pass over all vectors. A first threshold per query comes from ``seeds``
-vectors; being scores of real candidates it excludes nothing that belongs to the answer. Each task
-keeps the k best of each query, so that no group grows with the data.
+The queries are a stated set and are taken in blocks of ``block`` vectors, a size that memory bounds. Blocks
+run one after the other, each broadcast for one pass over all vectors, its result stored, and released, so
+neither driver nor executors hold more than one. A first threshold per query comes from a bounded
+number of vectors; being scores of real candidates it excludes nothing that belongs to the answer.
+Each task keeps the k best of each query, so that no group grows with the data.
 
 Defined cases: a vector that is null, empty, or holds null or non-finite components takes no part, nor
 does a row without vec_id; only vectors of one length are compared; rows with the query's own
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from stockloom.llm.common import query, stored, table
 
-RESOLUTIONS = (1, 4, 16)
+#: Segments of a level in the first share of the vector, and what share of it is taken component by component.
+LEVELS = ((1, 0.0), (4, 0.0), (16, 0.0), (32, 0.0), (32, 0.5), (32, 0.75))
+#: Below this share of live pairs, pairs are looked at one by one.
+FEW = 0.125
+#: Rounding of a bound, as a share of the product of the lengths of both vectors.
+ROUNDING = 1e-12
 EXACT = float(1 << 53)
 
 
@@ -40,19 +48,18 @@ def scaled(embedding: Column, scale: int) -> Column:
     return F.when(fine & (F.size(embedding) > 0), F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))))
 
 
-def statistics(rows: np.ndarray) -> list[np.ndarray]:
-    """For each resolution the means and deviations of all segments side by side, weighted so that a
-    product of two such rows is the bound."""
-    out = []
-    for parts in RESOLUTIONS:
-        width = -(-rows.shape[1] // parts)
-        padded = np.zeros((len(rows), parts * width))
-        padded[:, : rows.shape[1]] = rows
-        cut = padded.reshape(len(rows), parts, width)
-        mean = cut.mean(2)
-        deviation = np.sqrt(np.square(cut - mean[:, :, None]).mean(2))
-        out.append(np.concatenate([mean, deviation], 1) * np.sqrt(width))
-    return out
+def statistics(rows: np.ndarray, level: tuple[int, float]) -> np.ndarray:
+    """The first components as they are, then the means and deviations of the segments of the rest side by
+    side, weighted so that a product of two such rows is the bound."""
+    parts, share = level
+    d = rows.shape[1]
+    width, alone = -(-d // min(parts, d)), int(d * share)
+    padded = np.zeros((len(rows), -(-(d - alone) // width) * width))
+    padded[:, : d - alone] = rows[:, alone:]
+    cut = padded.reshape(len(rows), -1, width)
+    mean = cut.mean(2)
+    deviation = np.sqrt(np.square(cut - mean[:, :, None]).mean(2))
+    return np.concatenate([rows[:, :alone], mean * np.sqrt(width), deviation * np.sqrt(width)], 1)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,37 +72,58 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(big, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+def pairwise(a: np.ndarray, b: np.ndarray, q: np.ndarray, c: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Products of the rows ``q`` of ``a`` with the rows ``c`` of ``b``, pair by pair."""
+    if not len(q):
+        return np.zeros(0, a.dtype)
+    return np.concatenate([np.einsum("ij,ij->i", a[q[i : i + step]], b[c[i : i + step]]) for i in range(0, len(q), step)])
+
+
 class Best:
     """The k best of each query so far, all of one vector length."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.rows, self.k = ids, rows, k
-        self.levels = statistics(rows)
+        self.levels = [statistics(rows, level) for level in LEVELS]
+        self.lengths = np.sqrt(np.square(rows.astype(float)).sum(1))
+        self.seen, self.spared = np.zeros(len(LEVELS), np.int64), np.zeros(len(LEVELS), np.int64)  # pairs that reach a level, and that end there
         self.floor = floor.copy()  # a score below it can't be among the best
         self.known = np.zeros(len(ids), bool)  # whether the floor is a score, not just the lowest number
         self.known |= floor > np.iinfo(np.int64).min
         self.found = [np.empty((0, 3), np.int64)]
 
     def offer(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        live = np.ones((len(self.ids), len(ids)), bool)
-        floor = np.where(self.known, self.floor.astype(float), -np.inf)
-        for own, other in zip(self.levels, statistics(rows)):  # coarse to fine, on what is left
-            q, c = live.any(1), live.any(0)
-            if not q.any():
+        live = self.ids[:, None] != ids[None, :]
+        longest = np.sqrt(np.square(rows.astype(float)).sum(1).max(initial=0))
+        least = np.where(self.known, self.floor.astype(float), -np.inf) - ROUNDING * (np.abs(self.floor.astype(float)) + self.lengths * longest)
+        for n, own in enumerate(self.levels):  # coarse to fine, on what is left
+            before = np.count_nonzero(live)
+            if not before:
                 return
-            bound = own[q] @ other[c].T
-            bound += 1e-9 * np.abs(bound) + 1e-6
-            live[np.ix_(q, c)] &= bound >= floor[q, None]
-        q, c = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
-        if not len(q):
-            return
-        scores = products(self.rows[q], rows[c])
-        take = live[np.ix_(q, c)] & (scores >= self.floor[q, None]) & (self.ids[q, None] != ids[c][None, :])
-        if scores.shape[1] > self.k:  # no score below the k-th of this block either
-            masked = np.where(take, scores, np.iinfo(np.int64).min)
-            take &= scores >= np.partition(masked, -self.k, axis=1)[:, -self.k, None]
-        at, which = np.nonzero(take)
-        self.found.append(np.stack([q[at], scores[at, which], ids[c][which]], 1))
+            other = statistics(rows, LEVELS[n])
+            if before > FEW * live.size:
+                live &= own @ other.T >= least[:, None]
+            else:
+                q, c = np.nonzero(live)
+                live[q, c] = pairwise(own, other, q, c) >= least[q]
+            self.seen[n] += before
+            self.spared[n] += before - np.count_nonzero(live)
+        left = np.count_nonzero(live)
+        safe = float(np.abs(self.rows).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1] < EXACT
+        if left > FEW * live.size or not safe:
+            q, c = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
+            scores = products(self.rows[q], rows[c])
+            take = live[np.ix_(q, c)] & (scores >= self.floor[q, None])
+            if scores.shape[1] > self.k:  # no score below the k-th of this block either
+                masked = np.where(take, scores, np.iinfo(np.int64).min)
+                take &= scores >= np.partition(masked, -self.k, axis=1)[:, -self.k, None]
+            at, which = np.nonzero(take)
+            self.found.append(np.stack([q[at], scores[at, which], ids[c][which]], 1))
+        else:
+            q, c = np.nonzero(live)
+            scores = pairwise(self.rows, rows, q, c)
+            take = scores >= self.floor[q]
+            self.found.append(np.stack([q[take], scores[take], ids[c[take]]], 1))
         if sum(map(len, self.found)) > 4 * self.k * len(self.ids):
             self.settle()
 
@@ -132,15 +160,16 @@ def batch_matrices(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndar
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, seeds: int = 2048) -> DataFrame:
     """The ``k`` highest inner products of each query: query_id, rank, vec_id, score.
 
-    ``vectors`` and ``queries``: vec_id and v, an array of whole numbers.
+    ``vectors`` and ``queries``: vec_id and v, an array of whole numbers. ``seeds``: vectors for first
+    thresholds, of which a twentieth of all is the most.
     """
     spark = vectors.sparkSession
     rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").filter("vec_id is not null and size(v) > 0"), "vectors")
     asking = queries.filter("vec_id is not null and size(v) > 0")
     asking = stored(asking.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("v").alias("v")), "queries")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(seeds).collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(seeds, rows.count() // 20)).collect()
     first = matrices([r["vec_id"] for r in sample], [r["v"] for r in sample])
-    blocks, out = max(1, -(-asking.count() // block)), None
+    blocks, parts = max(1, -(-asking.count() // block)), []
     low = np.iinfo(np.int64).min
     for n in range(blocks):
         part = asking.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()
@@ -168,9 +197,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096,
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        parts.append(stored(best, "top-k"))
+        held.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 SQL = r"""
