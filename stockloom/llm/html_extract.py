@@ -1,13 +1,19 @@
 """Main text of web pages, with a host-wide suffix array for boilerplate that has no tell-tale markup.
 
 A page is cut into blocks. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments, by tag, role or class, are left out. If the page marks its article,
-the blocks within make up the text, whatever other pages hold: copies of an article are articles.
-The main part of a page counts as its article if no article is marked.
-If it doesn't, repetition decides. The words of all blocks outside an article form the page's token
-stream; the streams of a host's pages are concatenated and sorted as a suffix array, in which runs
-of ``run`` tokens that occur on more than one page stand next to each other. Words that such a run
-covers are boilerplate and go; what is unique to the page stays.
+scripts, styles and comments, by tag or role, are left out; so are elements whose class or id is the name of
+such a part, alone or with words that say nothing of the content (``comment-list``, not ``comments-on-kant``).
+If the page marks its article, the blocks within make up the text, whatever other pages hold: copies of an
+article are articles. The main part of a page counts as its article if no article is marked.
+
+A name that only begins or ends with such a word raises a doubt, which the content settles: the element goes
+if at least half of its characters are links, and each of its blocks goes if at least half of its words lie
+in runs that other pages of the host repeat. Else it stays.
+
+If a page marks no article, repetition decides on all its blocks. The words of all blocks outside an
+article, and of those in doubt, form the page's token stream; the streams of a host's pages are concatenated
+and sorted as a suffix array, in which runs of ``run`` tokens that occur on more than one page stand
+next to each other. Words that such a run covers are boilerplate and go; what is unique to the page stays.
 
 A host may hold any number of pages, so the array is built for the pages a task has at hand, and
 gives one row for each distinct run with the least and greatest page that holds it. Merging these
@@ -25,6 +31,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +62,15 @@ NAMES = frozenset(
     "banner notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription comment comments disqus respond reply replies "
     "share sharing social breadcrumb breadcrumbs related recommended pagination pager toolbar widget skip form search login signup".split()
 )
+#: Words that leave the meaning of a name as it is.
+PLAIN = frozenset(
+    "site page list box container block section area item items bar link links slot unit zone panel row col inner outer top bottom left right button "
+    "buttons icons post posts primary secondary global mobile desktop card group holder".split()
+)
+#: Names that are as sure with plain words; the others also name parts of articles.
+SURE = NAMES - frozenset("header form search notice notices aside promotion social related widget skip".split())
+#: Elements that hold running text: only a name on its own counts.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th figcaption".split())
 #: Parts of a class name that turn its meaning round.
 BUT = frozenset("no not has with without free main content body article wrapper".split())
 ARTICLE_NAMES = frozenset(("articlebody", "postcontent", "entrycontent", "articlecontent", "postbody", "storybody", "maincontent"))
@@ -69,9 +85,38 @@ TABLE_ENDS = {"td": CELLS, "th": CELLS, "tr": ("tr", "caption", *CELLS), "thead"
 NO_WALL = frozenset(("address", "div", "p"))
 
 
-def marks(name: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is left out, and how surely it holds the main text: 2 as an article, 1 as the main part, else 0."""
-    out, level = name in LEFT_OUT, {"article": 2, "main": 1}.get(name, 0)
+class Block(NamedTuple):
+    """``level``: of what it is inside of (see ``marks``); ``doubt``: number of the element in doubt it is inside of, or 0; ``linked``: characters in links."""
+
+    text: str
+    level: int
+    doubt: int
+    linked: int
+
+
+def named(name: str, value: str, level: int) -> tuple[bool, bool, int]:
+    """What a class or id makes of an element: whether it is left out, whether it is in doubt, and its level."""
+    out = doubt = False
+    for one in value.split():
+        parts = [x.lower() for x in PART.findall(one) if not x.isdigit()]
+        if not parts:
+            continue
+        level = max(level, 2 * ("".join(parts) in ARTICLE_NAMES))
+        if not BUT.isdisjoint(parts):
+            continue
+        known = NO_ARTICLE if level else NAMES
+        sure = known if level else SURE
+        others = [x for x in parts if x not in sure]
+        if "".join(parts) in known or (name not in PROSE and len(others) < len(parts) and PLAIN.issuperset(others)):
+            out = True
+        elif parts[0] in known or parts[-1] in known:
+            doubt = True
+    return out, doubt, level
+
+
+def marks(name: str, attributes: str) -> tuple[bool, bool, int]:
+    """Whether an element is left out, whether it is in doubt, and how surely it holds the main text: 2 as an article, 1 as the main part, else 0."""
+    out, doubt, level = name in LEFT_OUT, False, {"article": 2, "main": 1}.get(name, 0)
     if attributes and not attributes.isspace() and name not in ("html", "body"):
         for found in ATTRIBUTE.finditer(attributes):
             key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
@@ -83,51 +128,57 @@ def marks(name: str, attributes: str) -> tuple[bool, int]:
             elif key == "aria-hidden":
                 out |= value.lower() == "true"
             else:
-                for one in value.split():
-                    parts = [x.lower() for x in PART.findall(one)]
-                    out |= not (NO_ARTICLE if level else NAMES).isdisjoint(parts) and BUT.isdisjoint(parts)
-                    level = max(level, 2 * ("".join(parts) in ARTICLE_NAMES))
-    return out, 0 if out else level
+                gone, unsure, level = named(name, value, level)
+                out, doubt = out or gone, doubt or unsure
+    return out, doubt, 0 if out else level
 
 
-def blocks(html: str) -> list[tuple[str, int]]:
-    """Text blocks in page order that no markup rules out, and the level of what each is inside of (see ``marks``)."""
-    out: list[tuple[str, int]] = []
+def blocks(html: str) -> list[Block]:
+    """Text blocks in page order that no markup rules out."""
+    out: list[Block] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, left out, level
+    stack: list[tuple[str, bool, int, int]] = []  # name, left out, level, doubt
     places: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of a name are on the stack
     open_blocks: list[int] = []
     walls: list[int] = []  # the blocks that an implied end doesn't reach through
-    skip, within = False, 0
+    skip, within, doubt, doubts, linked = False, 0, 0, 0, 0
+
+    def add(part: str) -> None:
+        nonlocal linked
+        text.append(part)
+        if places["a"]:
+            linked += len(part.strip())
 
     def flush() -> None:
+        nonlocal linked
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append((joined, within))
+                out.append(Block(joined, within, doubt, linked))
             text.clear()
+            linked = 0
 
     def close(depth: int) -> None:
-        nonlocal skip, within
-        if open_blocks and open_blocks[-1] >= depth:
+        nonlocal skip, within, doubt
+        if not skip and (open_blocks and open_blocks[-1] >= depth or doubt != (stack[depth - 1][3] if depth else 0)):
             flush()
-        for name, _, _ in stack[depth:]:
+        for name, *_ in stack[depth:]:
             places[name].pop()
         for held in (open_blocks, walls):
             while held and held[-1] >= depth:
                 held.pop()
         del stack[depth:]
-        _, skip, within = stack[-1] if stack else ("", False, 0)
+        _, skip, within, doubt = stack[-1] if stack else ("", False, 0, 0)
 
     at = 0
     while at < len(html):
         found = MARKUP.search(html, at)
         if found is None:
             if not skip:
-                text.append(html[at:])
+                add(html[at:])
             break
         if not skip and found.start() > at:
-            text.append(html[at : found.start()])
+            add(html[at : found.start()])
         at = found.end()
         name = found["name"] or found["name2"]
         if name is None:
@@ -158,16 +209,28 @@ def blocks(html: str) -> list[tuple[str, int]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        left, level = marks(name, found["attributes"] or "")
+        left, unsure, level = marks(name, found["attributes"] or "")
+        if unsure and name in BLOCK and not left and not skip and not doubt:
+            doubts += 1
+            doubt = doubts
         skip, within = skip or left, max(within, level)
         places[name].append(len(stack))
         if name in BLOCK:
             open_blocks.append(len(stack))
             if name not in NO_WALL:
                 walls.append(len(stack))
-        stack.append((name, skip, within))
+        stack.append((name, skip, within, doubt))
     flush()
-    return out
+    return without_link_lists(out)
+
+
+def without_link_lists(found: list[Block]) -> list[Block]:
+    """The blocks without elements in doubt that are links by half or more."""
+    sizes: defaultdict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for block in found:
+        sizes[block.doubt][0] += len(block.text)
+        sizes[block.doubt][1] += block.linked
+    return [b for b in found if not b.doubt or 2 * sizes[b.doubt][1] < sizes[b.doubt][0]]
 
 
 def host_words(host: str, texts: list[str]) -> np.ndarray:
@@ -231,25 +294,41 @@ def unique_text(texts: list[str], covered: np.ndarray) -> str:
     return "\n".join(out)
 
 
+def article_text(article: list[str], rest: list[str], places: list[int], covered: np.ndarray) -> str:
+    """Blocks of an article without those in doubt that are covered by half or more. ``places``: of each block of
+    ``rest`` its number in the article, or -1."""
+    gone, at = set(), 0
+    for text, place in zip(rest, places):
+        n = len(text.split())
+        if place >= 0 and 2 * covered[at : at + n].sum() >= n:
+            gone.add(place)
+        at += n
+    return "\n".join(t for i, t in enumerate(article) if i not in gone)
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, uid (tells pages apart), article (its text, null if the page marks none) and rest (the other blocks)."""
+    """page_id, url, host, uid (tells pages apart), article (its blocks, null if the page marks none), rest (the other
+    blocks, and those in doubt), and places (of each block of rest its number in the article, or -1)."""
     kept = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("uid"), "html")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                article, rest = [], []
+                article, rest, places = [], [], []
                 for html in batch.column("html"):
                     found = blocks(html.as_py() or "")
-                    top = max((level for _, level in found), default=0)  # an article within the main part is all of it
-                    article.append("\n".join(t for t, level in found if level == top) if top else None)
-                    rest.append([t for t, level in found if not level])
-                columns = [*batch.columns[:4], pa.array(article, pa.string()), pa.array(rest, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "uid", "article", "rest"])
+                    top = max((b.level for b in found), default=0)  # an article within the main part is all of it
+                    inside = [b for b in found if b.level == top] if top else []
+                    judged = [(b.text, -1) for b in found if not b.level] + [(b.text, i) for i, b in enumerate(inside) if b.doubt]
+                    article.append([b.text for b in inside] if top else None)
+                    rest.append([text for text, _ in judged])
+                    places.append([place for _, place in judged])
+                columns = [*batch.columns[:4], *(pa.array(x, pa.list_(k)) for x, k in ((article, pa.string()), (rest, pa.string()), (places, pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "uid", "article", "rest", "places"])
 
     kind = kept.schema["page_id"].dataType.simpleString()
-    return kept.mapInArrow(rows, f"page_id {kind}, url string, host string, uid long, article string, rest array<string>")
+    return kept.mapInArrow(rows, f"page_id {kind}, url string, host string, uid long, article array<string>, rest array<string>, places array<int>")
 
 
 def repeated_runs(pages: DataFrame, run: int) -> DataFrame:
@@ -272,7 +351,8 @@ def extract(pages: DataFrame, run: int = 8) -> DataFrame:
         raise ValueError("run must be a power of two")
     found = stored(parsed(pages), "pages")
     repeated = repeated_runs(found, run)
-    open_pages = found.filter("article is null and size(rest) > 0")
+    judged = "size(rest) > 0 and (article is null or exists(places, x -> x >= 0))"
+    open_pages = found.filter(judged)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,22 +369,24 @@ def extract(pages: DataFrame, run: int = 8) -> DataFrame:
     spots = stored(open_pages.select("host", "uid", "rest").mapInArrow(positions, "uid long, at long, key long").distinct(), "runs")
     counts = stored(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(repeated, "key", "left_semi"), "repeated-runs")
     covered = salted_join(spots, counts, ["key"], "n", ["uid", "at"], "inner").groupBy("uid").agg(F.collect_list("at").alias("ats"))
-    left = open_pages.join(covered, "uid", "left").select("page_id", "url", "rest", "ats")
+    left = open_pages.join(covered, "uid", "left").select("page_id", "url", "article", "rest", "places", "ats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for rest, ats in zip(batch.column("rest").to_pylist(), batch.column("ats").to_pylist()):
+            for article, rest, places, ats in zip(*(batch.column(c).to_pylist() for c in ("article", "rest", "places", "ats"))):
                 gone = np.zeros(sum(len(t.split()) for t in rest) + 1, np.int64)
                 for at in ats or []:
                     gone[at] += 1
                     gone[at + run] -= 1
-                texts.append(unique_text(rest, np.cumsum(gone)[:-1] > 0))
+                covered = np.cumsum(gone)[:-1] > 0
+                texts.append(unique_text(rest, covered) if article is None else article_text(article, rest, places, covered))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = found.schema["page_id"].dataType.simpleString()
     rest = left.mapInArrow(cut, f"page_id {kind}, url string, text string")
-    marked = found.filter("article is not null or size(rest) = 0").select("page_id", "url", F.coalesce("article", F.lit("")).alias("text"))
+    text = F.array_join(F.coalesce("article", F.array().cast("array<string>")), "\n")
+    marked = found.filter(f"not ({judged})").select("page_id", "url", text.alias("text"))
     return marked.unionByName(rest)
 
 

@@ -1,4 +1,5 @@
 import random
+from html import unescape
 
 import numpy as np
 import pytest
@@ -22,8 +23,8 @@ from stockloom.llm.html_extract import blocks
 ])
 def test_article(html, text):
     found = blocks(html)
-    top = max((level for _, level in found), default=0)
-    found = [t for t, level in found if top and level == top]
+    top = max((b.level for b in found), default=0)
+    found = [b.text for b in found if top and b.level == top]
     assert ("\n".join(found) if found else None) == text
 
 
@@ -36,7 +37,85 @@ def test_article(html, text):
     ("<ul><li class=ad><div>no<li>a<ul><li class=ad>no</ul>b</ul>", [("a", 0), ("b", 0)]), ("<dl><dt class=ad><p>no<dd>a<dt>b</dl>", [("a", 0), ("b", 0)]),
 ])
 def test_elements_without_end_tags(html, found):
-    assert blocks(html) == found
+    assert [(b.text, b.level) for b in blocks(html)] == found
+
+
+PROSE_NAMES = """<article><h2 class="section-header">a</h2><p class="social-science">b</p><p class="form-factor">c</p><p class="ad-hoc">d</p>
+<div class="related-work">e</div><p id="search-algorithms">f</p><section id="comments-on-kant">g</section><p>h</p></article>"""
+
+
+def test_names_of_content_stay():
+    assert [b.text for b in blocks(PROSE_NAMES)] == list("abcdefgh")
+
+
+@pytest.mark.parametrize("name", [
+    "ad", "ads", "ad-slot-3", "adBox", "comments", "comment-list", "comment_item", "related", "share", "share-buttons", "newsletter", "newsletter-signup",
+    "cookie-banner", "site-nav", "post-footer", "sidebar-left", "breadcrumbs", "sponsored-links", "header", "social", "search",
+])
+@pytest.mark.parametrize("tag", ["div", "section", "ul"])
+def test_names_of_other_parts_go(tag, name):
+    assert [b.text for b in blocks(f"<article>a<{tag} class='{name}'>no</{tag}>b<{tag} id={name}>no</{tag}></article>")] == ["a", "b"]
+
+
+def test_links_settle_a_doubt():
+    html = "<article>a<div class='related-work'><a href=x>one</a> <a href=y>two</a> by</div><div class='related-work'>long own words <a>one</a></div></article>"
+    assert [b.text for b in blocks(html)] == ["a", "long own words one"]
+
+
+def test_repetition_settles_a_doubt(spark):
+    page = "<article><p>own {0}</p><div class='search-hints'>{1}</div><p>end</p></article>"
+    same, other = "one two three four five six", "seven eight nine ten eleven {0} twelve"
+    rows = [(i, "http://a.example.org/", page.format(i, (same if i % 2 else other).format(i))) for i in range(1, 7)]
+    rows.append((9, "http://b.example.org/", page.format(9, same)))
+    got = {r.page_id: r.text for r in html_extract.extract(table(spark, rows).repartition(3), run=4).collect()}
+    assert got[1] == "own 1\nend" and got[9] == f"own 9\n{same}\nend" and got[2] == "own 2\nend"  # five of seven words repeat
+
+
+def tree(rng, depth):
+    """A random page part: a text, or (tag, attributes, parts)."""
+    if depth == 0 or rng.random() < 0.35:
+        return " ".join(rng.choices(["one", "two &lt; 3", "größe", "a&amp;b", "\n  x", "&#233;", "&nbsp;"], k=rng.randint(1, 3)))
+    tag = rng.choice(["div", "section", "b", "span", "em", "nav", "aside", "form", "h2", "blockquote", "script", "div", "div", "comment", "br"])
+    attributes = rng.choice(["", "", "", " class='ad'", ' id="comments"', " hidden", " class=post data-x='>'", " class='social-science'"])
+    return tag, attributes, [tree(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+
+
+def written(part):
+    if isinstance(part, str):
+        return part
+    tag, attributes, parts = part
+    if tag in ("comment", "br"):
+        return "<!-- <p>no</p> -->" if tag == "comment" else "<br>"
+    return f"<{tag}{attributes}>{'if (a < b) no()' if tag == 'script' else ''.join(map(written, parts))}</{tag}>"
+
+
+def plain_blocks(part):
+    """Texts of a part, None where a block ends."""
+    if isinstance(part, str):
+        return [unescape(part)]
+    tag, attributes, parts = part
+    inside = [x for p in parts for x in plain_blocks(p)]
+    wall = [None] if tag in ("div", "section", "nav", "aside", "form", "h2", "blockquote") else []
+    if tag == "comment" or tag == "br":
+        return [" "] if tag == "br" else []
+    if tag in ("nav", "aside", "form", "script") or any(x in attributes for x in ("'ad'", "comments", "hidden")):
+        return wall
+    return [*wall, *inside, *wall]
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_generated_pages_against_their_trees(seed):
+    rng = random.Random(seed)
+    parts = [tree(rng, 5) for _ in range(6)]
+    want, line = [], []
+    for x in [*(x for p in parts for x in plain_blocks(p)), None]:
+        if x is None:
+            want += [" ".join("".join(line).split())] if "".join(line).strip() else []
+            line = []
+        else:
+            line.append(x)
+    html = f"<html><body><nav>no</nav><article>{''.join(map(written, parts))}</article><footer>no</footer></body></html>"
+    assert [b.text for b in blocks(html)] == want
 
 
 def plain_unique(pages, run):
