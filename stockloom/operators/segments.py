@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.clean import numbers_or_dropped, require_columns, valid_timestamps
 from stockloom.functions.dates import days_between
+from stockloom.operators import kmeans
 from stockloom.session import cut_lineage
 
 FEATURES = ["recency", "frequency", "monetary_value"]
@@ -76,36 +74,13 @@ def inertia_of_one(scaled_scores: DataFrame) -> DataFrame:
     return scaled_scores.agg(total.alias("inertia")).select(F.lit(1).alias("k"), "inertia")
 
 
-def _vectors(scaled_scores: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(scaled_scores)
-
-
-def _best_fits(vectors: DataFrame, ks: list[int], seed: int, restarts: int, parallel: int) -> dict[int, tuple]:
-    """Per k the fit of least cost among restarts: (cost, restart, model). Fits run side by side."""
-
-    def fit(task: tuple[int, int]) -> tuple:
-        k, restart = task
-        model = KMeans(k=k, seed=seed + restart, maxIter=300, initMode="k-means||").fit(vectors)
-        return k, (float(model.summary.trainingCost), restart, model)
-
-    best: dict[int, tuple] = {}
-    with ThreadPoolExecutor(parallel) as pool:
-        for k, found in pool.map(fit, [(k, r) for k in ks for r in range(restarts)]):
-            if k not in best or found[:2] < best[k][:2]:
-                best[k] = found
-    return best
-
-
-def elbow(
-    scaled_scores: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10, parallel: int = 8
-) -> DataFrame:
-    """Inertia for 1 to ``max_k`` clusters."""
-    vectors = _vectors(scaled_scores).persist()
-    one = inertia_of_one(vectors).first()["inertia"]
-    fits = _best_fits(vectors, list(range(2, max_k + 1)), seed, restarts, parallel)
-    vectors.unpersist()
-    rows = [(1, float(one)), *((k, fits[k][0]) for k in sorted(fits))]
-    return scaled_scores.sparkSession.createDataFrame(rows, "k int, inertia double")
+def elbow(scaled_scores: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10) -> DataFrame:
+    """Inertia for 1 to ``max_k`` clusters. All numbers of clusters and restarts pass over the rows together."""
+    rows = kmeans.stored_rows(scaled_scores, "customer_id", FEATURES)
+    one = inertia_of_one(rows).first()["inertia"]
+    fits = kmeans.fit_many(rows, "customer_id", FEATURES, list(range(2, max_k + 1)), restarts, seed)
+    found = [(1, float(one)), *((k, fits[k].inertia) for k in sorted(fits))]
+    return scaled_scores.sparkSession.createDataFrame(found, "k int, inertia double")
 
 
 @dataclass(frozen=True)
@@ -116,40 +91,42 @@ class Segmentation:
     centers: DataFrame
     inertia: float
 
+    def save(self, spark: SparkSession, path: str) -> str:
+        self.customers.write.mode("overwrite").parquet(f"{path}/customers")
+        self.centers.withColumn("inertia", F.lit(self.inertia)).coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Segmentation":
+        centers = spark.read.parquet(f"{path}/centers")
+        return Segmentation(spark.read.parquet(f"{path}/customers"), centers.drop("inertia"), centers.first()["inertia"])
+
     def sizes(self) -> DataFrame:
         return self.customers.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
 
 
-def segment(scores: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, parallel: int = 8) -> Segmentation:
+def segment(scores: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10) -> Segmentation:
     """K-means on scaled scores, best of several starts.
 
     Segments are numbered by the recency of their centre, so that numbers mean the same in
     every run. Centres are on the original scale.
     """
-    scores = scores.persist()
-    scaled_scores = scaled(scores).select("customer_id", *FEATURES)
-    vectors = _vectors(scaled_scores).persist()
-    cost, _, model = _best_fits(vectors, [k], seed, restarts, parallel)[k]
-    labels = model.transform(vectors).select("customer_id", "prediction")
+    scores = cut_lineage(scores)
+    rows = kmeans.stored_rows(scaled(scores), "customer_id", FEATURES)
+    best = kmeans.fit_many(rows, "customer_id", FEATURES, [k], restarts, seed)[k]
     stats = scores.agg(
         *[F.avg(c) for c in FEATURES], *[F.stddev_pop(c) for c in FEATURES]
     ).first()
     means, devs = stats[:3], [d or 0.0 for d in stats[3:]]
     original = [
         [float(v) * dev + mean for v, mean, dev in zip(center, means, devs)]
-        for center in model.clusterCenters()
+        for center in best.centers
     ]
     order = sorted(range(len(original)), key=lambda i: original[i])
-    number = {old: new for new, old in enumerate(order)}
-    spark = scores.sparkSession
-    mapping = F.create_map(*[F.lit(v) for pair in number.items() for v in pair])
-    customers = cut_lineage(
-        scores.join(labels, "customer_id").withColumn("segment", mapping[F.col("prediction")]).drop("prediction")
-    )
-    centers = spark.createDataFrame(
-        [(number[i], *map(float, original[i])) for i in order],
+    labels = rows.select("customer_id", kmeans.label(FEATURES, best.centers[order]).alias("segment"))
+    customers = cut_lineage(scores.join(labels, "customer_id"))
+    centers = scores.sparkSession.createDataFrame(
+        [(number, *map(float, original[i])) for number, i in enumerate(order)],
         "segment int, recency double, frequency double, monetary_value double",
     )
-    vectors.unpersist()
-    scores.unpersist()
-    return Segmentation(customers, centers, float(cost))
+    return Segmentation(customers, centers, best.inertia)
