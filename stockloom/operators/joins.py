@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom.functions.clean import category_or_default
+from stockloom.session import cut_lineage
 from stockloom.sources.tables import Retail
 
 
@@ -31,22 +35,105 @@ def in_stock_sales(sales: DataFrame, stock: DataFrame, gone: Column) -> DataFram
     return sales.join(stock.filter(gone).select("product_id"), "product_id", "left_anti")
 
 
+#: Levels of whole bins: 2^22 days are some 11,000 years.
+LEVELS = 22
+
+
+def _micros(ts: str, like: DataFrame) -> Column:
+    """Microseconds of a timestamp of either kind since the start of 1970 on its own clock."""
+    kind = like.schema[ts].dataType.simpleString()
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(kind), F.col(ts))
+
+
+def _whole_bins(first: Column, end: Column) -> Column:
+    """The bins from ``first`` up to before ``end`` as nodes (level, node): a node of level i stands for 2^i
+    bins, and there are at most two of each level below the last."""
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    shifted = lambda x, level: F.call_function("shiftright", x, level)
+    node = lambda level, x: F.struct(level.alias("level"), x.alias("node"))
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    def of_level(level: Column) -> Column:
+        lo, hi = -shifted(-first, level), shifted(end, level)  # rounded up and down
+        side = lambda taken, x: F.when((lo < hi) & taken, F.array(node(level, x))).otherwise(none)
+        return F.concat(side(odd(lo), lo), side(odd(hi), hi - 1))
+
+    lo, hi = -F.shiftright(-first, LEVELS), F.shiftright(end, LEVELS)
+    rest = F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda x: node(F.lit(LEVELS), x))).otherwise(none)
+    return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), of_level)), rest)
+
+
+def _sweep(moments: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+    """Of each moment the least factor among the pieces that hold it: both in order of time, with the
+    pieces begun so far in a heap, from whose top those that have ended fall."""
+    moments, pieces = moments.sort_values("t"), pieces.sort_values("lo")
+    los, his, factors = (pieces[c].tolist() for c in ("lo", "hi", "factor"))
+    open_pieces: list[tuple[float, int]] = []
+    found, begun = [], 0
+    for t in moments["t"].tolist():
+        while begun < len(los) and los[begun] <= t:
+            heapq.heappush(open_pieces, (factors[begun], his[begun]))
+            begun += 1
+        while open_pieces and open_pieces[0][1] < t:
+            heapq.heappop(open_pieces)
+        found.append(open_pieces[0][0] if open_pieces else None)
+    return moments.assign(part=pd.Series(found, index=moments.index, dtype="float64"))
+
+
+def lowest_factor(moments: DataFrame, spans: DataFrame, bin_micros: int = 86_400_000_000) -> DataFrame:
+    """product_id, t, factor: of each moment (product_id, t in microseconds) the least factor of the spans
+    (product_id, lo, hi, factor, both ends in) that hold it; moments outside all spans are left out.
+
+    Time is cut into bins. A span gives its ends' bins a piece each, and the whole bins between them as a few
+    nodes of a binary tree, so a long span costs little more than a short one. Pieces meet the moments of
+    their product and bin in a sweep, nodes meet bins by equality; no span is paired with a moment.
+    """
+    bin_of = lambda x: F.floor(x / F.lit(bin_micros)).cast("bigint")
+    spans = cut_lineage(
+        spans.filter("product_id is not null and factor is not null and lo <= hi")
+        .groupBy("product_id", "lo", "hi").agg(F.min("factor").alias("factor"))
+        .withColumns({"first": bin_of(F.col("lo")), "last": bin_of(F.col("hi"))})
+    )
+    moments = cut_lineage(moments.filter("product_id is not null and t is not null").distinct().withColumn("bin", bin_of(F.col("t"))))
+    ends = F.explode(F.array_distinct(F.array("first", "last")))
+    pieces = spans.select("product_id", ends.alias("bin"), "lo", "hi", "factor")
+    nodes = (
+        spans.filter(F.col("last") - F.col("first") > 1)
+        .select("product_id", F.inline(_whole_bins(F.col("first") + 1, F.col("last"))), "factor")
+        .groupBy("product_id", "level", "node").agg(F.min("factor").alias("whole"))
+    )
+    above = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("bin"), i).alias("node")))
+    whole = (
+        moments.select("product_id", "bin").distinct().select("product_id", "bin", F.inline(above))
+        .join(nodes, ["product_id", "level", "node"]).groupBy("product_id", "bin").agg(F.min("whole").alias("whole"))
+    )
+    keys = ["product_id", "bin"]
+    kinds = dict(moments.dtypes)
+    swept = (
+        moments.join(pieces.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).cogroup(pieces.groupBy(*keys))
+        .applyInPandas(_sweep, f"product_id {kinds['product_id']}, t bigint, bin bigint, part double")
+    )
+    both = swept.select(*keys, "t", F.col("part").alias("factor")).unionByName(
+        moments.join(whole, keys).select(*keys, "t", F.col("whole").cast("double").alias("factor"))
+    )
+    return both.filter("factor is not null").groupBy("product_id", "t").agg(F.min("factor").alias("factor"))
+
+
 def promo_price(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """Sales with the price a promotion gives within its time span.
 
     Where spans of one product overlap, the lowest factor counts once: the line is not repeated.
-    The factor is found for each day on which a product sold and then joined to its lines, so a
-    product may have any number of promotions and of lines.
+    The factor is found for each moment at which a product sold (see ``lowest_factor``) and then joined
+    to its lines, so a product may have any number of promotions and of lines.
     """
-    sold = sales.select("product_id", "transaction_date").distinct()
-    day = F.col("transaction_date")
-    spans = promotions.select("product_id", "start_time", "end_time", "discount_factor")
-    factors = (
-        sold.join(spans, "product_id").filter((F.col("start_time") <= day) & (day <= F.col("end_time")))
-        .groupBy("product_id", "transaction_date").agg(F.min("discount_factor").alias("factor"))
+    moments = sales.select("product_id", _micros("transaction_date", sales).alias("t"))
+    spans = promotions.select(
+        "product_id", _micros("start_time", promotions).alias("lo"), _micros("end_time", promotions).alias("hi"),
+        F.col("discount_factor").cast("double").alias("factor"),
     )
+    factors = cut_lineage(lowest_factor(moments, spans))
     return (
-        sales.join(factors, ["product_id", "transaction_date"], "left")
+        sales.withColumn("t", _micros("transaction_date", sales)).join(factors, ["product_id", "t"], "left")
         .select(*sales.columns, "factor")
         .withColumn("price", F.col("price_per_unit") * F.coalesce("factor", F.lit(1.0)))
         .withColumn("promotion_applied", F.col("factor").isNotNull())

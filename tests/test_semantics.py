@@ -1,5 +1,6 @@
 """Small tables worked out by hand, one per decision."""
 
+import random
 from datetime import date, datetime
 
 import dataclasses
@@ -547,3 +548,35 @@ def test_caches_are_released(spark):
         graph.page_rank(bought, max_iter=1, tol=0.0)
     assert graph.page_rank(graph.Graph(bought.nodes.filter("false"), bought.edges.filter("false"))).count() == 0
     assert cached() == before
+
+
+def plain_factors(moments, spans):
+    found = {(p, t): [f for q, lo, hi, f in spans if p == q and lo <= t <= hi] for p, t in moments}
+    return {k: min(v) for k, v in found.items() if v}
+
+
+@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
+def test_lowest_factors_against_every_pair(spark, width):
+    rng = random.Random(width)
+    spans = [(rng.randint(1, 3), *sorted((rng.randint(-2000, 2000), rng.randint(-2000, 2000))), rng.randint(1, 99) / 100) for _ in range(150)]
+    spans += [(1, 5, 5, 0.01), (2, 7, 3, 0.0), (None, 0, 1000, 0.1)]
+    moments = [(rng.randint(1, 4), rng.randint(-2100, 2100)) for _ in range(300)] + [(1, 5), (1, 5), (None, 3), (2, None)]
+    found = joins.lowest_factor(
+        spark.createDataFrame(moments, "product_id long, t long"), spark.createDataFrame(spans, "product_id long, lo long, hi long, factor double"), width
+    )
+    assert {(r.product_id, r.t): r.factor for r in found.collect()} == plain_factors([m for m in moments if None not in m], spans)
+
+
+def test_many_spans_of_one_product(spark):
+    n, day = 100_000, 86_400_000_000
+    spans = spark.range(n).select(
+        F.lit(1).cast("long").alias("product_id"), (F.col("id") * 60_000_000).alias("lo"),
+        (F.col("id") * 60_000_000 + F.lit(day) * 400).alias("hi"), (1 - F.col("id") / (2 * n)).alias("factor"),
+    )
+    moments = spark.range(2000).select(F.lit(1).cast("long").alias("product_id"), (F.col("id") * (day // 4)).alias("t"))
+    found = {r.t: r.factor for r in joins.lowest_factor(moments, spans).collect()}
+    for i in range(2000):
+        t = i * day // 4
+        last = min(n - 1, t // 60_000_000)  # factors fall, so the last span begun counts, while it lasts
+        held = last * 60_000_000 + day * 400 >= t
+        assert found.get(t) == (pytest.approx(1 - last / (2 * n)) if held else None)
