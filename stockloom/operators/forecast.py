@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
@@ -15,10 +17,10 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.clean import require_columns
-from stockloom.functions.dates import calendar_parts
 from stockloom.functions.skew import shuffle_tasks
+from stockloom.operators import forest
 from stockloom.operators.sales import latest_row
-from stockloom.operators.timeseries import LAGS, ROLLING, chronological_split
+from stockloom.operators.timeseries import BASE_FEATURES, LAGS, ROLLING, chronological_split
 from stockloom.session import cut_lineage
 
 TARGET = "next_day_sales"
@@ -55,6 +57,28 @@ class DemandModel:
         return DemandModel(PipelineModel.load(f"{path}/pipeline"), about["features"])
 
 
+@dataclass(frozen=True)
+class Trained:
+    """A model with its quality, to be kept together."""
+
+    model: DemandModel
+    quality: Evaluation
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        self.model.save(spark, f"{path}/model")
+        about = json.dumps({"rmse": self.quality.rmse, "r2": self.quality.r2})
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/quality")
+        self.quality.importance.coalesce(1).write.mode("overwrite").parquet(f"{path}/importance")
+        self.quality.predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Trained":
+        about = json.loads(spark.read.text(f"{path}/quality").first()["value"])
+        quality = Evaluation(about["rmse"], about["r2"], spark.read.parquet(f"{path}/importance"), spark.read.parquet(f"{path}/predictions"))
+        return Trained(DemandModel.load(spark, f"{path}/model"), quality)
+
+
 def load_or_train(spark: SparkSession, path: str, load: Callable, train: Callable):
     """The saved model, or a newly trained one saved there when there is none yet."""
     try:
@@ -143,40 +167,48 @@ def predict_future(
     Each day's prediction feeds the next day's lags and means. Lags move along by position
     (7 takes over from 3); ``calendar_lags`` keeps a true history instead, which starts from
     the known lags and fills unknown days with the weekly one.
+
+    The forest goes to the tasks as arrays, and a batch of products walks through all days at once.
     """
     require_columns(state, ["product_id", *model.features], "state")
     start = as_of or state.agg(F.max("day")).first()[0]
-    lags = [f"lag_{n}" for n in LAGS]
-    state = state.select("product_id", *[F.col(f).cast("double").alias(f) for f in model.features]).na.fill(0.0)
-    if calendar_lags:
-        state = state.withColumn("past", F.array(*[F.col(f"lag_{_known_lag(n)}") for n in range(1, 8)]))
-    parts = []
-    for step in range(1, days + 1):
-        day = F.date_add(F.lit(start).cast("date"), step)
-        keep = [c for c in state.columns]
-        scored = model.pipeline.transform(
-            state.withColumns({k: v.cast("double") for k, v in calendar_parts(day).items()})
-        )
-        scored = cut_lineage(
-            scored.select(*keep, F.greatest("predicted", F.lit(0.0)).alias("predicted"))
-        )
-        parts.append(scored.select("product_id", day.alias("date"), F.col("predicted").alias("predicted_sales")))
-        new = F.col("predicted")
-        moved = {
-            f"rolling_mean_{n}": (F.col(f"rolling_mean_{n}") * (n - 1) + new) / n for n in ROLLING
-        }
+    spark, names = state.sparkSession, list(model.features)
+    trees = spark.sparkContext.broadcast(forest.flattened(spark, model.pipeline))
+    rows = state.select("product_id", *[F.col(f).cast("double").alias(f) for f in names]).na.fill(0.0)
+    dates = [] if start is None else [start + timedelta(n) for n in range(1, days + 1)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in names], 1)
+            for day, sold in zip(dates, walked(trees.value, x, names, dates, calendar_lags)):
+                columns = [batch.column("product_id"), pa.array([day] * len(x), pa.date32()), pa.array(sold)]
+                yield pa.RecordBatch.from_arrays(columns, names=["product_id", "date", "predicted_sales"])
+
+    kind = rows.schema["product_id"].dataType.simpleString()
+    return rows.mapInArrow(walk, f"product_id {kind}, date date, predicted_sales double")
+
+
+def walked(trees: forest.Forest, x: np.ndarray, names: list[str], dates: list[date], calendar_lags: bool) -> Iterator[np.ndarray]:
+    """Predictions for the rows ``x`` (columns ``names``) day by day, each from the ones before."""
+    place = {name: i for i, name in enumerate(names)}
+    lags = [place[f"lag_{n}"] for n in LAGS]
+    x = x.copy()
+    past = np.stack([x[:, place[f"lag_{_known_lag(n)}"]] for n in range(1, 8)], 1)
+    for day in dates:
+        for name, value in zip(BASE_FEATURES, (day.weekday(), day.day, day.month)):
+            if name in place:
+                x[:, place[name]] = value
+        sold = np.maximum(trees.predict(x), 0.0)
+        yield sold
+        for n in ROLLING:
+            at = place[f"rolling_mean_{n}"]
+            x[:, at] = (x[:, at] * (n - 1) + sold) / n
         if calendar_lags:
-            past = F.slice(F.concat(F.array(new), F.col("past")), 1, 7)
-            moved["past"] = past
-            moved.update({f"lag_{n}": F.get(past, F.lit(n - 1)) for n in LAGS})
+            past = np.concatenate([sold[:, None], past], 1)[:, :7]
+            x[:, lags] = past[:, [n - 1 for n in LAGS]]
         else:
-            moved.update({later: F.col(earlier) for earlier, later in zip(lags, lags[1:])})
-            moved[lags[0]] = new
-        state = scored.withColumns(moved).drop("predicted")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+            x[:, lags[1:]] = x[:, lags[:-1]]
+            x[:, lags[0]] = sold
 
 
 def _known_lag(n: int) -> int:

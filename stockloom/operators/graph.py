@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.clean import category_or_default, name_or_default
 from stockloom.functions.skew import big_keys
@@ -19,6 +19,24 @@ class Graph:
     edges: DataFrame
 
 
+@dataclass(frozen=True)
+class RankedGraph:
+    """A graph with the ranks of its nodes, to be kept together."""
+
+    graph: Graph
+    ranks: DataFrame
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        for name, table in (("nodes", self.graph.nodes), ("edges", self.graph.edges), ("ranks", self.ranks)):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "RankedGraph":
+        nodes, edges, ranks = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "ranks"))
+        return RankedGraph(Graph(nodes, edges), ranks)
+
+
 def pair_counts(items: DataFrame, max_basket: int = 1000) -> DataFrame:
     """Pairs a < b of products and the number of transactions that hold both.
 

@@ -239,6 +239,23 @@ class IsolationForest:
         )
 
 
+@dataclass(frozen=True)
+class Scored:
+    """A forest with its predictions for the rows it was fitted on, to be kept together."""
+
+    forest: IsolationForest
+    predictions: DataFrame
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        self.forest.save(spark, f"{path}/forest")
+        self.predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Scored":
+        return Scored(IsolationForest.load(spark, f"{path}/forest"), spark.read.parquet(f"{path}/predictions"))
+
+
 def _standardise(x: np.ndarray, means: list[float], devs: list[float]) -> np.ndarray:
     spread = np.where(np.asarray(devs) > 0, devs, 1.0)
     return (x - np.asarray(means)) / spread
@@ -250,13 +267,14 @@ def top_anomalies(predictions: DataFrame, n: int = 20) -> DataFrame:
 
 def spoilt_items(
     forest: IsolationForest, features: DataFrame, inventory: DataFrame, products: DataFrame,
-    threshold: float | None = None,
+    threshold: float | None = None, predictions: DataFrame | None = None,
 ) -> DataFrame:
     """Flagged products with name, category, stock and days since the last sale, worst first.
 
-    A threshold on the anomaly score replaces the forest's own flag.
+    A threshold on the anomaly score replaces the forest's own flag. ``predictions``: those of the forest
+    for ``features``, if there are any already.
     """
-    found = forest.predict(features)
+    found = forest.predict(features) if predictions is None else predictions
     if threshold is not None:
         found = found.withColumn("is_anomaly", F.col("anomaly_score") > threshold)
     found = cut_lineage(found.filter("is_anomaly"))

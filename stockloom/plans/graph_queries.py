@@ -8,6 +8,7 @@ from stockloom.functions.text import STOP_WORDS
 from stockloom.operators import graph, recommend, similarity
 from stockloom.plans.registry import query, with_info
 from stockloom.session import cut_lineage
+from stockloom.sources import kept
 from stockloom.sources.tables import Retail, open_retail
 
 TOP = 5
@@ -82,9 +83,15 @@ content AS MATERIALIZED (
 
 
 def ranked(spark: SparkSession, folder: str) -> tuple[Retail, graph.Graph, DataFrame]:
+    """The tables, the graph and its ranks, made once per data set."""
     retail = open_retail(spark, folder)
-    bought = graph.co_purchase_graph(retail.items, store=True)
-    return retail, bought, graph.page_rank(bought)
+
+    def make() -> graph.RankedGraph:
+        bought = graph.co_purchase_graph(retail.items, store=True)
+        return graph.RankedGraph(bought, graph.page_rank(bought))
+
+    found = kept.keep(spark, "graph", kept.fingerprint([retail.items], version=1), graph.RankedGraph.load, make)
+    return retail, found.graph, found.ranks
 
 
 @query("basket_pairs", """

@@ -2,40 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from stockloom.operators import forecast, segments, spoilage, stock
 from stockloom.plans import report
 from stockloom.plans.registry import query
 from stockloom.plans.sales_queries import CATEGORIES, customer_scores, sold_lines
-from stockloom.plans.series_queries import brand_sales, features, mean_demand
+from stockloom.plans.series_queries import DEMAND, brand_sales, features, mean_demand
 from stockloom.session import cut_lineage
-from stockloom.sources.tables import open_retail
+from stockloom.sources import kept
+from stockloom.sources.tables import Retail, open_retail
 
 CONTAMINATION = 0.05
 
 
+def _key(retail: Retail, **parameters) -> str | None:
+    return kept.fingerprint([retail.items, retail.transactions, retail.products, retail.inventory], **parameters)
+
+
+def trained(spark: SparkSession, folder: str) -> forecast.Trained:
+    """The forest of daily demand, trained once per data set."""
+    key = _key(open_retail(spark, folder), trees=100, version=1)
+    return kept.keep(spark, "demand", key, forecast.Trained.load, lambda: forecast.Trained(*forecast.train(features(spark, folder), trees=100)))
+
+
 @query("forecast_quality")
 def forecast_quality(spark: SparkSession, folder: str) -> DataFrame:
     """One row per feature with its importance, and the model's error on the later days."""
-    _, quality = forecast.train(features(spark, folder))
+    quality = trained(spark, folder).quality
     return quality.importance.withColumns({"rmse": F.lit(quality.rmse), "r2": F.lit(quality.r2)})
 
 
 @query("forecast_7d")
 def forecast_7d(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cut_lineage(features(spark, folder))
-    model, _ = forecast.train(rows)
-    return forecast.predict_future(model, forecast.latest_state(rows), 7)
+    model = trained(spark, folder).model
+    return forecast.predict_future(model, cut_lineage(forecast.latest_state(features(spark, folder))), 7)
+
+
+def stock_left(spark: SparkSession, folder: str) -> DataFrame:
+    """Each supplier's stock after all sales."""
+    dated, inventory = brand_sales(spark, folder)
+    return stock.stock_after_sales(inventory.withColumn("quantity", F.col("quantity") * 30), dated)
 
 
 @query("forecast_low_stock")
 def forecast_low_stock(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers whose stock, after all sales, runs out within five days by the forest's forecast."""
-    dated, inventory = brand_sales(spark, folder)
-    opening = inventory.withColumn("quantity", F.col("quantity") * 30)
-    left = stock.stock_after_sales(opening, dated)
-    return stock.low_stock(left, forecast_7d(spark, folder), threshold_days=5)
+    return stock.low_stock(stock_left(spark, folder), forecast_7d(spark, folder), threshold_days=5)
 
 
 def product_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,14 +82,16 @@ def spoilage_features(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-def fitted(spark: SparkSession, folder: str) -> tuple[spoilage.IsolationForest, DataFrame]:
-    rows = cut_lineage(product_features(spark, folder))
-    return spoilage.IsolationForest.fit(rows, contamination=CONTAMINATION), rows
+def scored(spark: SparkSession, folder: str) -> spoilage.Scored:
+    """The isolation forest and what it says of all products, made once per data set."""
+    key = _key(open_retail(spark, folder), contamination=CONTAMINATION, version=1)
+    make = lambda: spoilage.Scored(*spoilage.IsolationForest.fit_predict(cut_lineage(product_features(spark, folder)), contamination=CONTAMINATION))
+    return kept.keep(spark, "spoilage", key, spoilage.Scored.load, make)
 
 
 @query("anomaly_score")
 def anomaly_score(spark: SparkSession, folder: str) -> DataFrame:
-    return spoilage.IsolationForest.fit_predict(cut_lineage(product_features(spark, folder)), contamination=CONTAMINATION)[1]
+    return scored(spark, folder).predictions
 
 
 @query("top_anomalies")
@@ -87,8 +102,9 @@ def top_anomalies(spark: SparkSession, folder: str) -> DataFrame:
 @query("spoilt_items")
 def spoilt_items(spark: SparkSession, folder: str) -> DataFrame:
     retail = open_retail(spark, folder)
-    forest, rows = fitted(spark, folder)
-    return spoilage.spoilt_items(forest, rows, retail.inventory, retail.products)
+    found = scored(spark, folder)
+    rows = cut_lineage(product_features(spark, folder))
+    return spoilage.spoilt_items(found.forest, rows, retail.inventory, retail.products, predictions=found.predictions)
 
 
 @query("inventory_report")
@@ -108,19 +124,25 @@ def elbow(spark: SparkSession, folder: str) -> DataFrame:
     return segments.elbow(segments.scaled(scores(spark, folder)))
 
 
+def in_segments(spark: SparkSession, folder: str) -> segments.Segmentation:
+    """Customers in four segments, found once per data set."""
+    key = _key(open_retail(spark, folder), k=4, version=1)
+    return kept.keep(spark, "segments", key, segments.Segmentation.load, lambda: segments.segment(scores(spark, folder), k=4))
+
+
 @query("segments")
 def segmented(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.segment(scores(spark, folder), k=4).customers
+    return in_segments(spark, folder).customers
 
 
 @query("segment_sizes")
 def segment_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.segment(scores(spark, folder), k=4).sizes()
+    return in_segments(spark, folder).sizes()
 
 
 @query("segment_centers")
 def segment_centers(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.segment(scores(spark, folder), k=4).centers
+    return in_segments(spark, folder).centers
 
 
 # What must hold of the models above, whatever they have learned: each check has a SQL twin.
@@ -151,12 +173,21 @@ def forecast_quality_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("forecast_low_stock_checks", """SELECT CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS not_short""")
+@query("forecast_low_stock_checks", """
+SELECT CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS not_short, CAST(0 AS BIGINT) AS missing,
+       (SELECT count(DISTINCT product_id) FROM brand_sales JOIN brand_stock USING (product_id)) AS compared""")
 def forecast_low_stock_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """Every alert falls within the threshold, and its stock is below the forecast of the week."""
-    found = forecast_low_stock(spark, folder)
+    """Every alert falls within the threshold, and its stock is below the forecast of the week. Of all suppliers with a stock
+    and a forecast none is missing whose stock the forecast of five days uses up."""
+    found = cut_lineage(forecast_low_stock(spark, folder))
     week = F.col("avg_daily_sales") * 7 + 1e-6
-    return found.agg(F.count_if(F.col("days_until_stockout") > 5).alias("late"), F.count_if(F.col("current_inventory") > week).alias("not_short"))
+    forecasts = cut_lineage(forecast_7d(spark, folder))
+    last = forecasts.agg(F.date_sub(F.max("date"), 2)).scalar()
+    due = forecasts.filter(F.col("date") <= last).groupBy("product_id").agg(F.sum("predicted_sales").alias("need"))
+    due = due.join(stock_left(spark, folder), "product_id").join(found.select("product_id", F.lit(True).alias("told")), "product_id", "left")
+    both = due.agg(F.count_if((F.col("quantity") < F.col("need") - 1e-6) & F.col("told").isNull()).alias("missing"), F.count(F.lit(1)).alias("compared"))
+    alerts = found.agg(F.count_if(F.col("days_until_stockout") > 5).alias("late"), F.count_if(F.col("current_inventory") > week).alias("not_short"))
+    return alerts.join(F.broadcast(both))  # a row each
 
 
 @query("anomaly_checks", f"""
@@ -184,10 +215,18 @@ def top_anomalies_checks(spark: SparkSession, folder: str) -> DataFrame:
     return top.agg(F.count(F.lit(1)).alias("listed")).withColumn("beaten", beaten)
 
 
-@query("inventory_report_checks", """SELECT 'low stock' AS section, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added
-UNION ALL SELECT 'spoilt', 0, 0""")
+def _share_is_right(flagged: Column, inventory: DataFrame) -> Column:
+    """1 if the flagged products are the share asked for, but for ties at the limit; else 0."""
+    products = inventory.agg(F.count_distinct("product_id")).scalar()
+    return (F.abs(flagged / products - CONTAMINATION) <= 0.005).cast("long")
+
+
+@query("inventory_report_checks", f"""WITH {DEMAND.strip()}
+SELECT 'low stock' AS section, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, (SELECT count(*) FROM alerts WHERE days_until_stockout <= 5) AS due
+UNION ALL SELECT 'spoilt', 0, 0, 1""")
 def inventory_report_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """The report holds the products of its two sources, each in its section, and no others."""
+    """The report holds the products of its two sources, each in its section, and no others. Of low stock as many are due as SQL
+    finds; of the spoilt ``due`` is 1 if they are the share asked for."""
     retail = open_retail(spark, folder)
     demand, inventory = mean_demand(spark, folder)
     low = cut_lineage(stock.low_stock(inventory, demand, threshold_days=5))
@@ -197,9 +236,10 @@ def inventory_report_checks(spark: SparkSession, folder: str) -> DataFrame:
     shown = report.inventory_report(low, spoilt, retail.products).select("section", "product_id", F.lit(1).alias("shown"))
     names = spark.createDataFrame([("low stock",), ("spoilt",)], "section string")
     found = due.join(shown, ["section", "product_id"], "full_outer").groupBy("section").agg(
-        F.count_if(F.col("shown").isNull()).alias("missing"), F.count_if(F.col("due").isNull()).alias("added")
+        F.count_if(F.col("shown").isNull()).alias("missing"), F.count_if(F.col("due").isNull()).alias("added"), F.count("due").alias("due")
     )
-    return names.join(found, "section", "left").na.fill(0)
+    share = _share_is_right(F.col("due"), retail.inventory)
+    return names.join(found, "section", "left").na.fill(0).withColumn("due", F.when(F.col("section") == "spoilt", share).otherwise(F.col("due")))
 
 
 @query("elbow_checks", """SELECT CAST(10 AS BIGINT) AS ks, CAST(0 AS BIGINT) AS rises, CAST(0 AS BIGINT) AS negative""")
@@ -218,7 +258,7 @@ SELECT count(DISTINCT customer_id) AS customers, CAST(4 AS BIGINT) AS segments,
 FROM sales""")
 def segment_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Segments cover all customers, each is in the segment of its nearest centre, and centres are the means of their members."""
-    found = segments.segment(scores(spark, folder), k=4)
+    found = in_segments(spark, folder)
     devs = found.customers.agg(*[F.stddev_pop(c).alias(f"dev_{c}") for c in segments.FEATURES])
     centers = found.centers.select(*[F.col(c).alias("segment_" if c == "segment" else f"at_{c}") for c in found.centers.columns])
     wide = found.customers.join(F.broadcast(devs)).join(F.broadcast(centers))  # 1 row and 4 rows
@@ -245,12 +285,13 @@ def segment_centers_order(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("recency") < F.col("before")).alias("out_of_order"))
 
 
-@query("spoilt_items_checks", """SELECT CAST(0 AS BIGINT) AS unnamed, CAST(0 AS BIGINT) AS wrong_stock, CAST(0 AS BIGINT) AS wrong_days""")
+@query("spoilt_items_checks", """SELECT CAST(0 AS BIGINT) AS unnamed, CAST(0 AS BIGINT) AS wrong_stock, CAST(0 AS BIGINT) AS wrong_days,
+CAST(1 AS BIGINT) AS share_is_right""")
 def spoilt_items_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """Flagged products come with their name, stock and days since the last sale."""
+    """Flagged products are the share asked for and come with their name, stock and days since the last sale."""
     retail = open_retail(spark, folder)
-    forest, rows = fitted(spark, folder)
-    found = spoilage.spoilt_items(forest, rows, retail.inventory, retail.products)
+    rows = product_features(spark, folder)
+    found = cut_lineage(spoilt_items(spark, folder))
     right = retail.inventory.select("product_id", "quantity").join(retail.products.select("product_id", F.col("name").alias("real")), "product_id")
     days = rows.select("product_id", F.col("days_since_last_transaction").alias("days"))
     both = found.join(right, "product_id", "left").join(days, "product_id", "left")
@@ -258,4 +299,5 @@ def spoilt_items_checks(spark: SparkSession, folder: str) -> DataFrame:
     return both.agg(
         differs("name", "real").alias("unnamed"), differs("current_inventory", "quantity").alias("wrong_stock"),
         differs("days_since_last_transaction", "days").alias("wrong_days"),
+        _share_is_right(F.count(F.lit(1)), retail.inventory).alias("share_is_right"),
     )

@@ -118,7 +118,7 @@ def chrono_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # A forecast that SQL can state: each product's mean demand, for a week.
-_DEMAND = """
+DEMAND = """
 span AS (SELECT min(transaction_date) AS a, max(transaction_date) AS b FROM sales),
 demand AS (
   SELECT product_id, b + to_days(CAST(d AS INTEGER)) AS date, d AS day_number,
@@ -152,7 +152,7 @@ def _alert_columns(df: DataFrame) -> DataFrame:
     })
 
 
-@query("cumulative_demand", f"""WITH {_DEMAND.strip()}
+@query("cumulative_demand", f"""WITH {DEMAND.strip()}
 SELECT product_id, strftime(date, '%Y-%m-%d') AS date, CAST(day_number AS INTEGER) AS day_number,
        round(predicted, 6) AS demand, round(total, 6) AS cumulative FROM cumulative""")
 def cumulative_demand(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,7 +162,7 @@ def cumulative_demand(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-@query("stock_forecast_join", f"""WITH {_DEMAND.strip()}
+@query("stock_forecast_join", f"""WITH {DEMAND.strip()}
 SELECT product_id, v.quantity AS current_inventory, round(sum(predicted), 6) AS week FROM demand JOIN inventory v USING (product_id) GROUP BY 1, 2""")
 def stock_forecast_join(spark: SparkSession, folder: str) -> DataFrame:
     demand, inventory = mean_demand(spark, folder)
@@ -173,19 +173,19 @@ def stock_forecast_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("stockout_day", f"WITH {_DEMAND.strip()} {_ALERT}")
+@query("stockout_day", f"WITH {DEMAND.strip()} {_ALERT}")
 def stockout_day(spark: SparkSession, folder: str) -> DataFrame:
     demand, inventory = mean_demand(spark, folder)
     return _alert_columns(stock.stockout_day(inventory, demand))
 
 
-@query("low_stock", f"WITH {_DEMAND.strip()} {_ALERT} AND days_until_stockout <= 5")
+@query("low_stock", f"WITH {DEMAND.strip()} {_ALERT} AND days_until_stockout <= 5")
 def low_stock(spark: SparkSession, folder: str) -> DataFrame:
     demand, inventory = mean_demand(spark, folder)
     return _alert_columns(stock.low_stock(inventory, demand, threshold_days=5))
 
 
-@query("forecast_pivot", f"WITH {_DEMAND.strip()} SELECT product_id, " + ", ".join(
+@query("forecast_pivot", f"WITH {DEMAND.strip()} SELECT product_id, " + ", ".join(
     f"round(sum(predicted) FILTER (WHERE day_number = {d}), 6) AS day_{d}" for d in range(1, 8)
 ) + " FROM demand GROUP BY 1")
 def forecast_pivot(spark: SparkSession, folder: str) -> DataFrame:
