@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stockloom.operators import forecast, mining, segments, sketches, spoilage, timeseries
 from stockloom.operators.forecast import DemandModel
 from stockloom.operators.spoilage import IsolationForest
-from stockloom.session import run_dir
+from stockloom.session import cut_lineage, run_dir
 from stockloom.sources import sinks, tables
 from tests.test_semantics import lines, tiny_retail
 
@@ -269,3 +269,24 @@ def test_similar_pairs_are_all_pairs_above_the_threshold(spark):
     for threshold, most in ((0.3, 2000), (0.8, 2000), (0.8, 5), (1.0, 3)):
         found = {(r["id"], r["other_id"]): r["similarity"] for r in similarity.similar_pairs(vectors, threshold, most).collect()}
         assert found == {p: s for p, s in every.items() if p[0] < p[1] and s >= threshold}
+
+
+@pytest.mark.parametrize(("keep", "postings"), [(1, 2000), (6, 3)])
+def test_nearest_vectors_of_documents_equal_brute_force(spark, keep, postings):
+    from stockloom.operators import similarity
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60 if postings < 2000 else 200).select(F.col("doc_id").alias("id"), "text")
+    vectors = cut_lineage(similarity.tfidf(texts))
+    weights = {}
+    for r in vectors.collect():
+        weights.setdefault(r["id"], {})[r["token"]] = r["weight"]
+    want = {}
+    for a, own in weights.items():
+        scores = [(-round(sum(w * other[t] for t, w in own.items() if t in other), similarity.PLACES), b) for b, other in weights.items() if own.keys() & other.keys()]
+        want[a] = sorted(scores)[:keep]
+    got = {}
+    for r in similarity.nearest_vectors(vectors, keep, postings).collect():
+        got.setdefault(r["id"], []).append((-r["similarity"], r["other"]))
+    assert {a: [s for s, _ in sorted(v)] for a, v in got.items()} == {a: [pytest.approx(s, abs=2e-9) for s, _ in v] for a, v in want.items()}
+    clear = {a for a, v in want.items() if all(y - x > 1e-8 for (x, _), (y, _) in zip(v, v[1:]))}
+    assert len(clear) > 2 and all([b for _, b in sorted(got[a])][:-1] == [b for _, b in want[a]][:-1] for a in clear)
