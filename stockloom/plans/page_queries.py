@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.operators import graph, recommend, scans
@@ -10,7 +12,7 @@ from stockloom.plans.registry import query
 from stockloom.plans.stream_queries import _HOURLY, events
 from stockloom.session import run_dir
 from stockloom.sources import sinks
-from stockloom.sources.tables import open_retail, read_csv_table
+from stockloom.sources.tables import csv_rejects, open_retail, read_csv_table
 
 
 @query("dashboard", """
@@ -64,6 +66,33 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_table(spark, "inventory", paths["inventory"]).select("inventory_id", "product_id", "quantity")
 
 
+@query("csv_lines_round_trip", """
+SELECT transaction_id, product_id, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units, round(sum(quantity * price_per_unit), 2) AS paid
+FROM items GROUP BY 1, 2""")
+def csv_lines_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines exported to CSV with names, read again and summed up."""
+    retail = open_retail(spark, folder)
+    numbered = replace(retail, items=retail.items.withColumn("item_id", F.monotonically_increasing_id()))
+    paths = sinks.export_tables(numbered, run_dir(spark, "csv"))
+    back = read_csv_table(spark, "transaction_items", paths["transaction_items"])
+    return back.groupBy("transaction_id", "product_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.round(F.sum(F.col("quantity") * F.col("price_per_unit")), 2).alias("paid")
+    )
+
+
+@query("csv_rejects", """
+SELECT 'quantity' AS bad, count(*) AS rows FROM inventory WHERE quantity % 10 = 0
+UNION ALL SELECT 'taken', count(*) FROM inventory WHERE quantity % 10 <> 0""")
+def rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Stock written with texts for some numbers: the rows that are told as bad, and those that are taken."""
+    stock = open_retail(spark, folder).inventory
+    spoilt = stock.withColumn("quantity", F.when(F.col("quantity") % 10 == 0, "some").otherwise(F.col("quantity").cast("string")))
+    path = sinks.write_table(spoilt, run_dir(spark, "csv-bad"), "csv")
+    bad = csv_rejects(spark, "inventory", path).select(F.explode("bad").alias("bad"))
+    taken = read_csv_table(spark, "inventory", path, on_bad="drop").filter("quantity is not null").select(F.lit("taken").alias("bad"))
+    return bad.unionByName(taken).groupBy("bad").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("json_round_trip", """
 SELECT transaction_id, count(*) AS lines, round(sum(quantity * price_per_unit), 2) AS total, CAST(sum(quantity) AS BIGINT) AS units FROM sales GROUP BY 1""")
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom.functions.clean import category_or_default, name_or_default, require_columns
+from stockloom.functions.dates import period_key
 from stockloom.operators import sales, sketches, ticker
+from stockloom.session import cut_lineage
 from stockloom.sources.tables import Retail
 
 MISSING = "N/A"
@@ -70,13 +72,32 @@ class Dashboard:
     top_categories: DataFrame
 
 
+def sales_sets(retail: Retail) -> DataFrame:
+    """Units by (period, category), by (product_id, product_name) and by category, one below the other, told
+    apart by ``dataset``. Lines are read once: they are summed per day and product before names are
+    joined, and the three groupings share those sums."""
+    days = retail.transactions.select("transaction_id", period_key(F.col("transaction_date"), "day").alias("period"))
+    names = retail.products.select("product_id", F.col("name").alias("product_name"), "category")
+    daily = retail.items.join(days, "transaction_id", "left").groupBy("period", "product_id").agg(F.sum("quantity").alias("units"))
+    keys = ["period", "category", "product_id", "product_name"]
+    sets = [["period", "category"], ["product_id", "product_name"], ["category"]]
+    held = daily.join(names, "product_id")
+    found = held.groupingSets([[F.col(c) for c in some] for some in sets], *keys).agg(F.sum("units").alias("units"), F.grouping_id().alias("set"))
+    number = [sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in some) for some in sets]
+    dataset = F.when(F.col("set") == number[0], "day").when(F.col("set") == number[1], "product").otherwise("category")
+    return found.withColumn("dataset", dataset).drop("set").filter("dataset <> 'day' or period is not null")
+
+
 def dashboard(retail: Retail, last_days: int | None = None) -> Dashboard:
-    """The four datasets of the start page."""
+    """The four datasets of the start page. All but the numbers of the stock come from one scan of the lines;
+    ``last_days`` cuts the daily one by the time of sale, which takes a scan of its own."""
+    sets = cut_lineage(sales_sets(retail))
+    of = lambda name, *columns: sets.filter(F.col("dataset") == name).select(*columns, "units")
+    daily = of("day", "period", "category") if last_days is None else sales.sales_by_period(retail.sales(), "day", last_days=last_days)
     return Dashboard(
-        sales.dashboard_kpis(retail),
-        sales.sales_by_period(retail.sales(), "day", last_days=last_days),
-        sales.top_products(retail, 10),
-        sales.top_categories(retail, 5),
+        sales.dashboard_kpis(retail), daily,
+        of("product", "product_id", "product_name").orderBy(F.desc("units"), "product_id").limit(10),
+        of("category", "category").orderBy(F.desc("units"), "category").limit(5),
     )
 
 

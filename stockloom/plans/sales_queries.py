@@ -438,6 +438,14 @@ def elbow_one(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("inertia", F.round("inertia", 4))
 
 
+@query("sales_by_day_of_some", """
+SELECT strftime(transaction_date, '%Y-%m-%d') AS period, category, CAST(sum(quantity) AS BIGINT) AS units FROM sales
+WHERE category IN ('PROMO', 'SMALL') GROUP BY 1, 2""")
+def sales_by_day_of_some(spark: SparkSession, folder: str) -> DataFrame:
+    """Units per day of chosen categories only."""
+    return sales.sales_by_period(open_retail(spark, folder).sales(), "day", categories=["PROMO", "SMALL"])
+
+
 @query("sales_pivot", "SELECT strftime(transaction_date, '%Y-%m') AS period, " + ", ".join(
     f"CAST(coalesce(sum(quantity) FILTER (WHERE category = '{c}'), 0) AS BIGINT) AS {c.lower()}" for c in CATEGORIES
 ) + " FROM sales GROUP BY 1")

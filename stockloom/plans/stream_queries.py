@@ -263,12 +263,25 @@ def stream_recent_100(spark: SparkSession, folder: str) -> DataFrame:
     return counters.last_stored(spark, out).select("transaction_id", "customer_id")
 
 
-@query("stream_rate", """
+def _rate_sql(minutes: int) -> str:
+    return f"""
 WITH ends AS (
-  SELECT date_trunc('minute', ts) + to_minutes(CAST(i AS INTEGER)) AS until FROM stream, range(1, 6) r(i))
-SELECT strftime(until, '%Y-%m-%d %H:%M') AS until, count(*) / 5 AS per_minute FROM ends GROUP BY 1""")
-def stream_rate(spark: SparkSession, folder: str) -> DataFrame:
+  SELECT date_trunc('minute', ts) + to_minutes(CAST(i AS INTEGER)) AS until FROM stream, range(1, {minutes + 1}) r(i))
+SELECT strftime(until, '%Y-%m-%d %H:%M') AS until, count(*) / {minutes} AS per_minute FROM ends GROUP BY 1"""
+
+
+def _rates(spark: SparkSession, folder: str, minutes: int) -> DataFrame:
     out = _new_run(spark)
-    counters.run(counters.start_rate(stream_events(spark, folder), 5, out))
-    rates = counters.newest_totals(spark, out, ["until"], "per_minute")
-    return rates.withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm"))
+    counters.run(counters.start_rate(stream_events(spark, folder), out))
+    return counters.sliding_rates(spark, out, minutes).withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm"))
+
+
+@query("stream_rate", _rate_sql(5))
+def stream_rate(spark: SparkSession, folder: str) -> DataFrame:
+    return _rates(spark, folder, 5)
+
+
+@query("stream_rate_hour", _rate_sql(60))
+def stream_rate_hour(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over an hour: as many stored rows as for five minutes."""
+    return _rates(spark, folder, 60)

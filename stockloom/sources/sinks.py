@@ -12,7 +12,7 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by:
     """Write a folder of part files. CSV gets a header in every part."""
     writer = df.write.mode("overwrite").format(format)
     if format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -8,8 +8,10 @@ name, type and brand. Line items carry no id of their own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 PRODUCTS_SCHEMA = T.StructType([
@@ -181,17 +183,45 @@ def stream_events(spark: SparkSession, folder: str, files_per_trigger: int = 5)
     return _as_transactions(events)
 
 
-def read_csv_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """One retail table from header CSV, with its declared schema (extra columns are left out)."""
-    schema = SCHEMAS[name]
-    header = spark.read.option("header", True).csv(path)
-    columns = [
-        F.col(field.name).try_cast(field.dataType).alias(field.name)
-        if field.name in header.columns
-        else F.lit(None).cast(field.dataType).alias(field.name)
-        for field in schema.fields
-    ]
-    return header.select(columns)
+def _csv_rows(spark: SparkSession, name: str, path: str) -> tuple[DataFrame, list[str]]:
+    """The rows of a header CSV as text, and which of the table's columns it has. Quoted texts may hold line breaks."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows, [f.name for f in SCHEMAS[name].fields if f.name in rows.columns]
+
+
+def _unfit(name: str, there: list[str]) -> dict[str, Column]:
+    """For each required column that the file has, whether its value is missing or doesn't parse."""
+    return {f.name: F.col(f.name).try_cast(f.dataType).isNull() for f in SCHEMAS[name].fields if f.name in there and not f.nullable}
+
+
+def read_csv_table(spark: SparkSession, name: str, path: str, on_bad: str = "fail") -> DataFrame:
+    """One retail table from header CSV, with its declared schema (extra columns are left out).
+
+    A row whose required column is missing or doesn't parse ends the job with the value (``on_bad`` fail) or is
+    left out (drop); ``csv_rejects`` lists such rows. Required columns that the file lacks altogether, and other
+    values that don't parse, are null.
+    """
+    if on_bad not in ("fail", "drop"):
+        raise ValueError("on_bad is fail or drop")
+    rows, there = _csv_rows(spark, name, path)
+    unfit = _unfit(name, there)
+    if on_bad == "drop":
+        rows = rows.filter(~reduce(or_, unfit.values(), F.lit(False)))
+    columns = []
+    for field in SCHEMAS[name].fields:
+        value = F.col(field.name).try_cast(field.dataType) if field.name in there else F.lit(None).cast(field.dataType)
+        if on_bad == "fail" and field.name in unfit:
+            shown = F.concat(F.lit(f"{name}.{field.name}: "), F.coalesce(F.col(field.name), F.lit("no value")))
+            value = F.when(unfit[field.name], F.raise_error(shown).cast(field.dataType)).otherwise(value)
+        columns.append(value.alias(field.name))
+    return rows.select(columns)
+
+
+def csv_rejects(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The rows of a CSV that ``read_csv_table`` doesn't take: as text, with ``bad``, the required columns that are missing or don't parse."""
+    rows, there = _csv_rows(spark, name, path)
+    bad = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in _unfit(name, there).items())), lambda x: x.isNotNull())
+    return rows.withColumn("bad", bad).filter(F.size("bad") > 0)
 
 
 def read_kafka_transactions(spark: SparkSession, servers: str, topic: str, schema: T.StructType) -> DataFrame:

@@ -152,16 +152,26 @@ def start_period_totals(items: DataFrame, period: str, folder: str, trigger: dic
     return _start(totals, "update", _write_batches(folder, [period, "product_id"], period=period), folder, trigger)
 
 
-def start_rate(transactions: DataFrame, minutes: int, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Transactions per minute over a window that slides by one minute."""
-    sliding = F.window("timestamp", f"{minutes} minutes", "1 minute")
-    rates = (
+def start_rate(transactions: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """Transactions of each minute. A row is counted once; ``sliding_rates`` puts minutes together to windows of any length."""
+    panes = (
         transactions.withWatermark("timestamp", RETENTION["hour"])
-        .groupBy(sliding.alias("w"))
-        .agg((F.count(F.lit(1)) / minutes).alias("per_minute"))
-        .select(F.col("w.end").alias("until"), "per_minute")
+        .groupBy(F.window("timestamp", "1 minute").alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("w.start").alias("minute"), "n")
     )
-    return _start(rates, "update", _write_batches(folder, ["until"], "per_minute"), folder, trigger)
+    return _start(panes, "update", _write_batches(folder, ["minute"], "n"), folder, trigger)
+
+
+def sliding_rates(spark: SparkSession, folder: str, minutes: int) -> DataFrame:
+    """until, per_minute: transactions per minute over a window of ``minutes`` that slides by one, wherever it holds any.
+
+    Sums the stored minutes, one row each, so the work doesn't grow with the transactions.
+    """
+    panes = newest_totals(spark, folder, ["minute"], "n")
+    ends = F.explode(F.sequence(F.lit(1), F.lit(minutes)))
+    reached = panes.select("minute", "n", ends.alias("i")).select((F.col("minute") + F.make_dt_interval(mins=F.col("i"))).alias("until"), "n")
+    return reached.groupBy("until").agg((F.sum("n") / minutes).alias("per_minute"))
 
 
 def last_stored(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:

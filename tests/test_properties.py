@@ -290,3 +290,38 @@ def test_nearest_vectors_of_documents_equal_brute_force(spark, keep, postings):
     assert {a: [s for s, _ in sorted(v)] for a, v in got.items()} == {a: [pytest.approx(s, abs=2e-9) for s, _ in v] for a, v in want.items()}
     clear = {a for a, v in want.items() if all(y - x > 1e-8 for (x, _), (y, _) in zip(v, v[1:]))}
     assert len(clear) > 2 and all([b for _, b in sorted(got[a])][:-1] == [b for _, b in want[a]][:-1] for a in clear)
+
+
+def test_csv_keeps_line_breaks_and_tells_what_does_not_parse(spark, rows):
+    folder = run_dir(spark, "test-csv")
+    texts = ['plain', 'two\nlines', 'a "quoted", text', 'back\\slash', "", None]
+    data = [(i, f"name {i}", "cat", 1.5 * i, "sup", t) for i, t in enumerate(texts)]
+    products = spark.createDataFrame(data, "product_id long, name string, category string, price double, supplier string, description string")
+    sinks.write_table(products, f"{folder}/good", "csv")
+    back = tables.read_csv_table(spark, "products", f"{folder}/good")
+    assert rows(back, "product_id", "name", "price") == rows(products, "product_id", "name", "price")
+    assert {r["product_id"]: r["description"] or None for r in back.collect()} == {i: t or None for i, t in enumerate(texts)}
+    assert tables.csv_rejects(spark, "products", f"{folder}/good").count() == 0
+
+    bad = products.withColumns({"price": F.when(F.col("product_id") == 2, "dear").otherwise(F.col("price").cast("string")), "name": F.when(F.col("product_id") != 4, F.col("name"))})
+    sinks.write_table(bad, f"{folder}/bad", "csv")
+    assert {(r["product_id"], tuple(r["bad"])) for r in tables.csv_rejects(spark, "products", f"{folder}/bad").collect()} == {("2", ("price",)), ("4", ("name",))}
+    assert sorted(r["product_id"] for r in tables.read_csv_table(spark, "products", f"{folder}/bad", on_bad="drop").collect()) == [0, 1, 3, 5]
+    with pytest.raises(Exception, match="products.price: dear|products.name: no value"):
+        tables.read_csv_table(spark, "products", f"{folder}/bad").collect()
+    with pytest.raises(ValueError):
+        tables.read_csv_table(spark, "products", f"{folder}/bad", on_bad="guess")
+
+
+def test_the_start_page_reads_lines_once(spark, tmp_path, capsys):
+    from stockloom.plans import report
+
+    retail = tables.open_retail(spark, "/root/testdata/sf0.001")
+    report.sales_sets(retail).explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("lineitem.parquet") == 1 and "Expand" in plan
+    page = report.dashboard(retail)
+    assert page.top_products.count() == 10 and page.daily.agg(F.sum("units")).first()[0] == retail.items.agg(F.sum("quantity")).first()[0]
+    assert sum(r["units"] for r in report.dashboard(retail).top_categories.collect()) <= page.daily.agg(F.sum("units")).first()[0]
+    recent = report.dashboard(retail, last_days=30).daily
+    assert 0 < recent.count() < page.daily.count()

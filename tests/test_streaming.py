@@ -141,11 +141,11 @@ def test_an_empty_stream_reads_as_an_empty_table(spark, tmp_path):
     counters.run(counters.start_period_totals(flat_items(stream), "hour", outs[0]))
     counters.run(counters.start_space_saving(flat_items(stream), 5, outs[1]))
     counters.run(counters.start_recent(stream, 5, outs[2]))
-    counters.run(counters.start_rate(stream, 5, outs[3]))
+    counters.run(counters.start_rate(stream, outs[3]))
     assert counters.newest_totals(spark, outs[0], ["hour", "product_id"]).count() == 0
     assert counters.retained_totals(spark, outs[0], "hour").count() == 0
     assert counters.last_stored(spark, outs[1]).count() == counters.last_stored(spark, outs[2]).count() == 0
-    assert counters.newest_totals(spark, outs[3], ["until"], "per_minute").count() == 0
+    assert counters.sliding_rates(spark, outs[3], 5).count() == 0
 
 
 def test_a_read_opens_few_folders_after_many_batches(spark, rows):
@@ -184,3 +184,18 @@ def test_a_live_trigger_keeps_running(spark, folder):
         assert query.isActive and counters.newest_totals(spark, out, ["category"]).agg(F.sum("units")).first()[0] == 300
     finally:
         query.stop()
+
+
+@pytest.mark.parametrize("minutes", [1, 5, 60])
+def test_rates_come_from_one_row_a_minute(spark, folder, whole, minutes):
+    out = run_dir(spark, "test-stream")
+    counters.run(counters.start_rate(stream_events(spark, folder, 1), out))
+    panes = counters.newest_totals(spark, out, ["minute"], "n")
+    assert panes.count() == whole.select(F.date_trunc("minute", "timestamp")).distinct().count()
+    want = {}
+    for r in whole.select(F.date_trunc("minute", "timestamp").alias("m")).collect():
+        for i in range(1, minutes + 1):
+            end = r["m"] + timedelta(minutes=i)
+            want[end] = want.get(end, 0) + 1
+    got = {r["until"]: r["per_minute"] for r in counters.sliding_rates(spark, out, minutes).collect()}
+    assert got == {k: pytest.approx(n / minutes) for k, n in want.items()}
