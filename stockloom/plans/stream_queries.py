@@ -9,7 +9,7 @@ from stockloom.operators.scans import flat_items
 from stockloom.plans.registry import query
 from stockloom.session import run_dir
 from stockloom.sources.tables import open_events, open_retail, stream_events
-from stockloom.streaming import counters
+from stockloom.streaming import counters, stateful
 
 # The counts of one item are too many for a summary of fewer counters than this to hold exactly.
 SPACE_SAVING_K = 50
@@ -209,10 +209,18 @@ def stream_hourly_totals(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_retained", f"""WITH totals AS ({_HOURLY})
 SELECT * FROM totals WHERE hour >= strftime((SELECT max(ts) FROM stream) - INTERVAL 24 HOUR, '%Y-%m-%d %H:00')""")
 def stream_retained(spark: SparkSession, folder: str) -> DataFrame:
-    """The hours a live page shows: those past retention leave the result."""
+    """The hours a live page shows: those past retention leave the state, and with it the result."""
     out = _new_run(spark)
-    counters.run(counters.start_period_totals(flat_items(stream_events(spark, folder)), "hour", out))
-    return counters.retained_totals(spark, out, "hour")
+    counters.run(stateful.start_open_periods(flat_items(stream_events(spark, folder)), "hour", out))
+    return stateful.open_totals(spark, out, "hour")
+
+
+@query("stream_retained_days", f"""WITH totals AS ({_DAILY})
+SELECT * FROM totals WHERE day >= strftime((SELECT max(ts) FROM stream) - INTERVAL 30 DAY, '%Y-%m-%d')""")
+def stream_retained_days(spark: SparkSession, folder: str) -> DataFrame:
+    out = _new_run(spark)
+    counters.run(stateful.start_open_periods(flat_items(stream_events(spark, folder)), "day", out))
+    return stateful.open_totals(spark, out, "day")
 
 
 @query("stream_daily_totals", _DAILY)
