@@ -11,7 +11,7 @@ from stockloom.plans import report
 from stockloom.plans.registry import query
 from stockloom.plans.stream_queries import _HOURLY, events
 from stockloom.session import run_dir
-from stockloom.sources import sinks
+from stockloom.sources import sinks, snapshots
 from stockloom.sources.tables import csv_rejects, open_retail, read_csv_table
 
 
@@ -93,6 +93,36 @@ def rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
     return bad.unionByName(taken).groupBy("bad").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("stock_ledger_batches", """
+WITH sold AS (
+  SELECT product_id, sum(quantity) FILTER (WHERE transaction_date < TIMESTAMP '1998-01-01') AS a,
+         sum(quantity) FILTER (WHERE transaction_date >= TIMESTAMP '1998-01-01') AS b FROM sales GROUP BY 1)
+SELECT product_id, CAST(greatest(greatest(quantity * 30 - coalesce(a, 0), 10) - coalesce(b, 0), 10) AS BIGINT) AS quantity
+FROM inventory LEFT JOIN sold USING (product_id)""")
+def stock_ledger_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger after two batches of sales, the second of them handed in twice."""
+    retail, ledger = open_retail(spark, folder), run_dir(spark, "ledger")
+    dated = retail.items.join(retail.transactions, "transaction_id")
+    early = F.col("transaction_date") < F.lit("1998-01-01").cast("timestamp_ntz")
+    snapshots.open_ledger(retail.inventory.withColumn("quantity", F.col("quantity") * 30), ledger)
+    snapshots.take_in(dated.filter(early), ledger, 1)
+    for _ in range(2):
+        snapshots.take_in(dated.filter(~early), ledger, 2)
+    return snapshots.snapshot(spark, ledger).select("product_id", "quantity")
+
+
+@query("sales_by_month_folders", """
+SELECT strftime(transaction_date, '%Y-%m') AS period, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units FROM sales GROUP BY 1""")
+def sales_by_month_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales exported by month, the months of one year a second time, and summed up from what lies there."""
+    sales, path = open_retail(spark, folder).sales(), run_dir(spark, "months")
+    snapshots.export_periods(sales, "transaction_date", path, "month")
+    months = spark.createDataFrame([(f"1997-{m:02d}",) for m in range(1, 13)], "period string")
+    snapshots.export_periods(sales, "transaction_date", path, "month", months)
+    back = spark.read.schema(sales.schema.add("period", "string")).parquet(path)
+    return back.groupBy("period").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
+
+
 @query("json_round_trip", """
 SELECT transaction_id, count(*) AS lines, round(sum(quantity * price_per_unit), 2) AS total, CAST(sum(quantity) AS BIGINT) AS units FROM sales GROUP BY 1""")
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:

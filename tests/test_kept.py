@@ -132,3 +132,49 @@ def test_artefacts_survive_saving(spark, weekly, rows):
     ranked = graph.RankedGraph(bought, graph.page_rank(bought))
     again = graph.RankedGraph.load(spark, ranked.save(spark, run_dir(spark, "graph")))
     assert rows(again.graph.edges) == rows(bought.edges) and rows(again.graph.nodes) == rows(bought.nodes) and rows(again.ranks) == rows(ranked.ranks)
+
+
+def test_a_batch_taken_in_twice_counts_once(spark, rows):
+    from stockloom.sources import snapshots
+
+    folder = run_dir(spark, "test-ledger")
+    stock = spark.createDataFrame([(1, 100), (2, 50), (3, 12)], "product_id long, quantity long")
+    sold = lambda *x: spark.createDataFrame(list(x), "product_id long, quantity long")
+    with pytest.raises(ValueError):
+        snapshots.take_in(sold((1, 1)), folder, 1)
+    assert snapshots.high_water_mark(spark, folder) is None
+    snapshots.open_ledger(stock, folder)
+    assert rows(snapshots.take_in(sold((1, 30), (3, 9)), folder, 1)) == [(1, 70), (2, 50), (3, 10)]
+    for _ in range(2):  # the same batch, and something else under its number
+        assert rows(snapshots.take_in(sold((1, 30), (3, 9)), folder, 1)) == [(1, 70), (2, 50), (3, 10)]
+    assert rows(snapshots.take_in(sold((2, 5)), folder, 1)) == [(1, 70), (2, 50), (3, 10)]
+    half = f"{folder}/batch=2"  # a job that died: files, but no end
+    stock.write.parquet(half)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{half}/_SUCCESS")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    assert snapshots.high_water_mark(spark, folder) == 1
+    assert rows(snapshots.take_in(sold((2, 5)), folder, 2)) == [(1, 70), (2, 45), (3, 10)]
+    for n in range(3, 7):
+        snapshots.take_in(sold((1, 1)), folder, n)
+    assert rows(snapshots.snapshot(spark, folder)) == [(1, 66), (2, 45), (3, 10)] and snapshots._numbers(spark, folder) == [4, 5, 6]
+    assert rows(snapshots.open_ledger(stock, folder)) == [(1, 66), (2, 45), (3, 10)]
+
+
+def test_an_export_rewrites_touched_days_only(spark, tmp_path, rows):
+    import glob
+    import os
+
+    from stockloom.sources import snapshots
+
+    path = str(tmp_path / "days")
+    sale = lambda i, d, q: (i, date(2024, 1, d), q)
+    table = lambda data: spark.createDataFrame(data, "transaction_id long, sold date, quantity long")
+    data = [sale(i, 1 + i % 5, i) for i in range(50)]
+    snapshots.export_periods(table(data), "sold", path)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/period=*/*.parquet")}
+    before = files()
+    data = [(i, d, q + 100 if d.day == 3 else q) for i, d, q in data] + [sale(99, 7, 1)]
+    snapshots.export_periods(table(data), "sold", path, changed=spark.createDataFrame([("2024-01-03",), ("2024-01-07",)], "period string"))
+    after = files()
+    assert {f for f in before if f in after} == {f for f in before if "period=2024-01-03" not in f} and all(before[f] == after[f] for f in before if f in after)
+    assert rows(spark.read.parquet(path), "transaction_id", "quantity") == sorted((i, q) for i, _, q in data)
