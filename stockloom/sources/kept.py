@@ -63,6 +63,12 @@ def keep(spark: SparkSession, kind: str, key: str | None, load: Callable[[SparkS
     return load(spark, path)
 
 
+def names(spark: SparkSession) -> set[str]:
+    """The artefacts there are, by kind and key."""
+    folder, files = _paths(spark, models_dir(spark))
+    return {x.getPath().getName() for x in files.listStatus(folder)} if files.exists(folder) else set()
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all artefacts."""
     folder, files = _paths(spark, models_dir(spark))
