@@ -80,37 +80,53 @@ def _sweep(moments: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
     return moments.assign(part=pd.Series(found, index=moments.index, dtype="float64"))
 
 
-def lowest_factor(moments: DataFrame, spans: DataFrame, bin_micros: int = 86_400_000_000) -> DataFrame:
+def lowest_factor(moments: DataFrame, spans: DataFrame, bin_micros: int = 86_400_000_000, few: int = 64) -> DataFrame:
     """product_id, t, factor: of each moment (product_id, t in microseconds) the least factor of the spans
     (product_id, lo, hi, factor, both ends in) that hold it; moments outside all spans are left out.
 
+    Products with at most ``few`` spans are compared with each of them. The others are swept, see ``_swept``.
+    """
+    spans = spans.filter("product_id is not null and factor is not null and lo <= hi")
+    spans = cut_lineage(spans.groupBy("product_id", "lo", "hi").agg(F.min("factor").alias("factor")))
+    many = cut_lineage(spans.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("product_id"))
+    moments = moments.filter("product_id is not null and t is not null").distinct()
+    swept = not many.isEmpty()
+    rest = spans.join(many, "product_id", "left_anti") if swept else spans
+    found = moments.join(rest, "product_id").filter((F.col("lo") <= F.col("t")) & (F.col("t") <= F.col("hi"))).groupBy("product_id", "t").agg(F.min("factor").alias("factor"))
+    if not swept:
+        return found
+    return found.unionByName(_swept(moments.join(many, "product_id", "left_semi"), spans.join(many, "product_id", "left_semi"), bin_micros))
+
+
+def _swept(moments: DataFrame, spans: DataFrame, bin_micros: int) -> DataFrame:
+    """The same for products with any number of spans.
+
     Time is cut into bins. A span gives its ends' bins a piece each, and the whole bins between them as a few
     nodes of a binary tree, so a long span costs little more than a short one. Pieces meet the moments of
     their product and bin in a sweep, nodes meet bins by equality; no span is paired with a moment.
     """
     bin_of = lambda x: F.floor(x / F.lit(bin_micros)).cast("bigint")
-    spans = cut_lineage(
-        spans.filter("product_id is not null and factor is not null and lo <= hi")
-        .groupBy("product_id", "lo", "hi").agg(F.min("factor").alias("factor"))
-        .withColumns({"first": bin_of(F.col("lo")), "last": bin_of(F.col("hi"))})
-    )
-    moments = cut_lineage(moments.filter("product_id is not null and t is not null").distinct().withColumn("bin", bin_of(F.col("t"))))
+    spans = cut_lineage(spans.withColumns({"first": bin_of(F.col("lo")), "last": bin_of(F.col("hi"))}))
+    moments = cut_lineage(moments.withColumn("bin", bin_of(F.col("t"))))
     ends = F.explode(F.array_distinct(F.array("first", "last")))
     pieces = spans.select("product_id", ends.alias("bin"), "lo", "hi", "factor")
-    nodes = (
+    nodes = cut_lineage(
         spans.filter(F.col("last") - F.col("first") > 1)
         .select("product_id", F.inline(_whole_bins(F.col("first") + 1, F.col("last"))), "factor")
         .groupBy("product_id", "level", "node").agg(F.min("factor").alias("whole"))
     )
-    above = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("bin"), i).alias("node")))
+    used = sorted(r["level"] for r in nodes.select("level").distinct().collect())  # at most LEVELS + 1
+    above = F.transform(F.array(*map(F.lit, used)).cast("array<int>"), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("bin"), i).alias("node")))
     whole = (
         moments.select("product_id", "bin").distinct().select("product_id", "bin", F.inline(above))
         .join(nodes, ["product_id", "level", "node"]).groupBy("product_id", "bin").agg(F.min("whole").alias("whole"))
     )
     keys = ["product_id", "bin"]
     kinds = dict(moments.dtypes)
+    near = cut_lineage(moments.join(pieces.select(*keys).distinct(), keys, "left_semi"))
+    close = pieces.join(near.select(*keys).distinct(), keys, "left_semi")
     swept = (
-        moments.join(pieces.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).cogroup(pieces.groupBy(*keys))
+        near.groupBy(*keys).cogroup(close.groupBy(*keys))
         .applyInPandas(_sweep, f"product_id {kinds['product_id']}, t bigint, bin bigint, part double")
     )
     both = swept.select(*keys, "t", F.col("part").alias("factor")).unionByName(

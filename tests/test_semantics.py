@@ -555,14 +555,14 @@ def plain_factors(moments, spans):
     return {k: min(v) for k, v in found.items() if v}
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
-def test_lowest_factors_against_every_pair(spark, width):
+@pytest.mark.parametrize(("width", "few"), [(1, 0), (100, 0), (10_000, 0), (100, 51), (100, 500)])
+def test_lowest_factors_against_every_pair(spark, width, few):
     rng = random.Random(width)
     spans = [(rng.randint(1, 3), *sorted((rng.randint(-2000, 2000), rng.randint(-2000, 2000))), rng.randint(1, 99) / 100) for _ in range(150)]
     spans += [(1, 5, 5, 0.01), (2, 7, 3, 0.0), (None, 0, 1000, 0.1)]
     moments = [(rng.randint(1, 4), rng.randint(-2100, 2100)) for _ in range(300)] + [(1, 5), (1, 5), (None, 3), (2, None)]
     found = joins.lowest_factor(
-        spark.createDataFrame(moments, "product_id long, t long"), spark.createDataFrame(spans, "product_id long, lo long, hi long, factor double"), width
+        spark.createDataFrame(moments, "product_id long, t long"), spark.createDataFrame(spans, "product_id long, lo long, hi long, factor double"), width, few
     )
     assert {(r.product_id, r.t): r.factor for r in found.collect()} == plain_factors([m for m in moments if None not in m], spans)
 
