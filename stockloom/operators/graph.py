@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stockloom.functions.clean import category_or_default, name_or_default
 from stockloom.functions.skew import big_keys
@@ -48,7 +49,7 @@ def pair_counts(items: DataFrame, max_basket: int = 1000) -> DataFrame:
     big = big_keys(lines, "transaction_id", max_basket)
     pairs = None
     if not big.isEmpty():
-        pairs = _pairs_of_big(lines.join(big, "transaction_id").distinct())
+        pairs = pairs_of_big(lines.join(big, "transaction_id").distinct())
         lines = lines.join(big, "transaction_id", "left_anti")
     usual = (
         lines.groupBy("transaction_id").agg(F.sort_array(F.collect_set("product_id")).alias("basket"))
@@ -60,7 +61,7 @@ def pair_counts(items: DataFrame, max_basket: int = 1000) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _pairs_of_big(lines: DataFrame) -> DataFrame:
+def pairs_of_big(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("part", F.pmod(F.xxhash64("product_id"), F.col("parts")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     left = lines.select(
@@ -141,17 +142,28 @@ def _iterate(
     shares: DataFrame, nodes: DataFrame, held: list[DataFrame], damping: float, max_iter: int, tol: float, store_every: int
 ) -> DataFrame:
     """Rounds of PageRank until they settle. What is cached is in ``held``, for the caller to release."""
+
+    def send(state: DataFrame) -> DataFrame:
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        senders = state.select(F.col("product_id").alias("src"), "rank", every_part.alias("part"))
+        return shares.join(senders, ["src", "part"]).select(F.col("dst").alias("product_id"), (F.col("share") * F.col("rank")).alias("got"))
+
+    return _rounds(send, nodes, held, damping, max_iter, tol, store_every)
+
+
+def _rounds(
+    send: Callable[[DataFrame], DataFrame], nodes: DataFrame, held: list[DataFrame], damping: float, max_iter: int, tol: float, store_every: int
+) -> DataFrame:
+    """The rounds: ``send`` gives what each product gets (product_id, got) from the ranks of the last one."""
     n, lost = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
     if n == 0:
         return cut_lineage(nodes.select("product_id", F.lit(0.0).alias("rank")))
     state = nodes.withColumn("rank", F.lit(1.0 / n))
     loose = lost / n
+    fixed = len(held)
     for step in range(1, max_iter + 1):
-        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        senders = state.select(F.col("product_id").alias("src"), "rank", every_part.alias("part"))
-        sent = shares.join(senders, ["src", "part"]).select(
-            F.col("dst").alias("product_id"), (F.col("share") * F.col("rank")).alias("got"),
-            F.lit(0.0).alias("old"), F.lit(1).cast("long").alias("parts"), F.lit(False).alias("dangling"),
+        sent = send(state).select(
+            "product_id", "got", F.lit(0.0).alias("old"), F.lit(1).cast("long").alias("parts"), F.lit(False).alias("dangling"),
         )
         kept = state.select(
             "product_id", F.lit(0.0).alias("got"), F.col("rank").alias("old"), "parts", "dangling"
@@ -165,7 +177,7 @@ def _iterate(
             )
             .withColumn("rank", F.lit(base) + F.lit(damping) * F.col("got"))
         )
-        before = held[2:]
+        before = held[fixed:]
         turned = cut_lineage(turned) if step % store_every == 0 else turned.persist()
         held.append(turned)
         change, loose = turned.agg(
@@ -174,13 +186,59 @@ def _iterate(
         ).first()
         for df in before:
             df.unpersist()
-        del held[2:-1]
+        del held[fixed:-1]
         state = turned.select("product_id", "parts", "dangling", "rank")
         if change < n * tol:
             return cut_lineage(state.select("product_id", "rank"))
     raise RuntimeError(f"PageRank did not converge in {max_iter} rounds")
 
 
+def page_rank_of_lines(
+    items: DataFrame, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, store_every: int = 5, max_fan_out: int = 100_000,
+) -> DataFrame:
+    """``page_rank`` of the products bought together, from the lines themselves: no edge is formed.
+
+    The weight of an edge is the number of transactions that hold both products. So a product gets, from each of
+    its transactions, the sum of rank / total over the others there, where the total of a product counts
+    the others in all its transactions. A round is a sum by transaction and one by product, so it moves two
+    rows per line, where there are as many edges as lines times the others of a transaction. Lines of a best
+    seller are laid out in parts of ``max_fan_out``.
+    """
+    every = W.partitionBy("transaction_id")
+    counted = (
+        items.select("transaction_id", "product_id").repartition("transaction_id")
+        .groupBy("transaction_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+        .select("transaction_id", "product_id", F.sum("n").over(every).alias("n"), F.count("product_id").over(every).alias("held"))
+    )
+    lines = cut_lineage(counted.filter("n > 1 and product_id is not null"))
+    others = F.when(F.col("transaction_id").isNotNull(), F.col("held") - 1).otherwise(0)  # lines without a transaction share none
+    nodes = cut_lineage(
+        lines.groupBy("product_id").agg(F.sum(others).alias("total"), F.count_if(others > 0).alias("baskets"))
+        .select("product_id", "total", "baskets", F.greatest(F.lit(1), F.ceil(F.col("baskets") / max_fan_out)).alias("parts"))
+    )
+    joined = lines.filter(others > 0).select("transaction_id", "product_id")
+    parts = nodes.filter("total > 0").select("product_id", "parts")
+    part = F.pmod(F.xxhash64("transaction_id"), "parts").alias("part")
+    by_product = joined.join(parts, "product_id").select("transaction_id", "product_id", part).repartition("product_id", "part").persist()
+    by_basket = joined.repartition("transaction_id").persist()
+    degrees = nodes.filter("total > 0").select("product_id", "total", "baskets")
+    state = nodes.select("product_id", F.col("parts").cast("long").alias("parts"), (F.col("total") == 0).alias("dangling")).persist()
+
+    def send(ranks: DataFrame) -> DataFrame:
+        own = ranks.select("product_id", "parts", "rank").join(degrees, "product_id").withColumn("given", F.col("rank") / F.col("total"))
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        sums = by_product.join(own.select("product_id", "given", every_part.alias("part")), ["product_id", "part"]).groupBy("transaction_id").agg(F.sum("given").alias("got"))
+        got = by_basket.join(sums, "transaction_id").select("product_id", "got")
+        return got.unionByName(own.select("product_id", (-F.col("given") * F.col("baskets")).alias("got")))
+
+    held = [by_product, by_basket, state]
+    try:
+        return _rounds(send, state, held, damping, max_iter, tol, store_every)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def with_product_info(df: DataFrame, products: DataFrame, key: str = "product_id") -> DataFrame:
     """Add name and category of the product in ``key``; unknown products get defaults."""
     info = products.select(F.col("product_id").alias(key), "name", "category")

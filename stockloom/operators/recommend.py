@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stockloom.functions.skew import big_keys, hot_join, shuffle_tasks
 from stockloom.functions.ties import tie_key
-from stockloom.operators.graph import with_product_info
+from stockloom.operators.graph import pairs_of_big, with_product_info
 from stockloom.session import cut_lineage
 
 
@@ -29,6 +29,33 @@ def collaborative(edges: DataFrame, ranks: DataFrame, top_n: int = 5) -> DataFra
     return _best(scored, "for_product", "score", top_n)
 
 
+def collaborative_of_lines(items: DataFrame, ranks: DataFrame, top_n: int = 5, max_basket: int = 1000) -> DataFrame:
+    """``collaborative`` from the lines: a line brings its product's rank along, and pairs, in both directions, are
+    laid out once by product. There they are counted and the best kept, so no edge is stored, joined or sorted apart.
+    """
+    lines = items.select("transaction_id", "product_id").filter("transaction_id is not null and product_id is not null")
+    big = big_keys(lines, "transaction_id", max_basket)
+    parted = None
+    if not big.isEmpty():
+        found = pairs_of_big(lines.join(big, "transaction_id").distinct())
+        rank = lambda side: ranks.select(F.col("product_id").alias(side), F.col("rank").alias(f"rank_{side}"))
+        parted = found.join(rank("a"), "a").join(rank("b"), "b").select("a", "b", "rank_a", "rank_b")
+        lines = lines.join(big, "transaction_id", "left_anti")
+    pairs = (
+        lines.join(ranks.select("product_id", "rank"), "product_id")
+        .groupBy("transaction_id").agg(F.sort_array(F.collect_set(F.struct("product_id", "rank"))).alias("basket"))
+        .filter(F.size("basket") > 1)
+        .select("basket", F.posexplode("basket").alias("pos", "x"))
+        .select("x", F.explode(F.slice("basket", F.col("pos") + 2, F.size("basket"))).alias("y"))
+        .select(F.col("x.product_id").alias("a"), F.col("y.product_id").alias("b"), F.col("x.rank").alias("rank_a"), F.col("y.rank").alias("rank_b"))
+    )
+    pairs = pairs if parted is None else pairs.unionByName(parted)
+    both = F.array(*[F.struct(F.col(x).alias("for_product"), F.col(y).alias("product_id"), F.col(f"rank_{y}").alias("rank")) for x, y in (("a", "b"), ("b", "a"))])
+    laid_out = pairs.select(F.inline(both)).repartition(shuffle_tasks(items.sparkSession), "for_product")
+    weights = laid_out.groupBy("for_product", "product_id").agg(F.count(F.lit(1)).alias("weight"), F.max("rank").alias("rank"))
+    return _best(weights.withColumn("score", F.col("weight") * F.col("rank")), "for_product", "score", top_n)
+
+
 def hybrid(
     collab: DataFrame, content: DataFrame, top_n: int = 5, collaborative_weight: float = 0.7
 ) -> DataFrame:
@@ -51,30 +78,34 @@ def hybrid(
     return _best(scored, "for_product", "hybrid_score", top_n)
 
 
-def for_baskets(lines: DataFrame, collab: DataFrame, top_n: int = 5, max_basket: int = 100_000) -> DataFrame:
+def for_baskets(
+    lines: DataFrame, collab: DataFrame, top_n: int = 5, max_basket: int = 100_000, few_products: int = 50_000
+) -> DataFrame:
     """Per basket the products with the greatest summed score over its items, its own left out.
 
     Give ``collab`` 2 * top_n candidates per product. Every line unfolds the offers of its
-    product and a mark of its own, so that one grouped sum replaces an anti-join. Lines are laid
-    out by transaction first: offers, ten times as many, then need no shuffle as long as Spark can
-    broadcast them; beyond that the lines of a best seller are dealt over several tasks. Only with
+    product and a mark of its own, so that one grouped sum replaces an anti-join. Offers of few products
+    (``few_products``) are small enough to be broadcast: lines are laid out by transaction first, and offers, ten times as
+    many, need no shuffle. Of more products a line fetches its offers as arrays (the lines of a best seller are dealt
+    over several tasks), and rows of arrays are laid out by transaction before they unfold. Only with
     a transaction too big for a task the sums are spread by product as well.
     """
     held = lines.select("transaction_id", "product_id")
-    if big_keys(held, "transaction_id", max_basket).isEmpty():
-        held = held.repartition(shuffle_tasks(lines.sparkSession), "transaction_id")
-    offers = collab.groupBy("for_product").agg(
-        F.collect_list(F.struct("product_id", "score", F.lit(False).alias("own"))).alias("offers")
-    )
-    own = F.struct("product_id", F.lit(0.0).alias("score"), F.lit(True).alias("own"))
+    tasks = shuffle_tasks(lines.sparkSession)
+    whole = big_keys(held, "transaction_id", max_basket).isEmpty()
+    if whole:
+        held = held.repartition(tasks, "transaction_id")
+    offers = collab.groupBy("for_product").agg(F.collect_list(F.struct("product_id", "score")).alias("offers"))
+    offers = offers.select(F.col("for_product").alias("product_id"), F.col("offers.product_id").alias("ids"), F.col("offers.score").alias("scores"))
     held = held.distinct()
     sizes = cut_lineage(held.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")))
+    fetched = hot_join(held, offers, ["product_id"], sizes, ["transaction_id"], "left")
+    if whole and sizes.count() > few_products:
+        fetched = fetched.repartition(tasks, "transaction_id")
+    offered = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(x["ids"].alias("product_id"), x["scores"].alias("score"), F.lit(False).alias("own")))
+    own = F.array(F.struct("product_id", F.lit(0.0).alias("score"), F.lit(True).alias("own")))
     scored = (
-        hot_join(held, offers.withColumnRenamed("for_product", "product_id"), ["product_id"], sizes, ["transaction_id"], "left")
-        .select(
-            "transaction_id",
-            F.inline(F.when(F.col("offers").isNull(), F.array(own)).otherwise(F.concat("offers", F.array(own)))),
-        )
+        fetched.select("transaction_id", F.inline(F.when(F.col("ids").isNull(), own).otherwise(F.concat(offered, own))))
         .groupBy("transaction_id", "product_id")
         .agg(F.sum("score").alias("score"), F.max("own").alias("own"))
         .filter(~F.col("own")).drop("own")

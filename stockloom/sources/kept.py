@@ -13,11 +13,12 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.session import shared_dir
+from stockloom.session import cut_lineage, shared_dir
 
 
 def models_dir(spark: SparkSession) -> str:
@@ -63,6 +64,23 @@ def keep(spark: SparkSession, kind: str, key: str | None, load: Callable[[SparkS
     return load(spark, path)
 
 
+@dataclass(frozen=True)
+class Table:
+    """A table to be kept."""
+
+    rows: DataFrame
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        self.rows.write.mode("overwrite").parquet(path)
+        return path
+
+
+def keep_table(spark: SparkSession, kind: str, key: str | None, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table kept like other artefacts; without a key it is stored for this session only."""
+    load = lambda session, path: Table(session.read.parquet(path))
+    return keep(spark, kind, key, load, lambda: Table(make() if key else cut_lineage(make()))).rows
+
+
 def names(spark: SparkSession) -> set[str]:
     """The artefacts there are, by kind and key."""
     folder, files = _paths(spark, models_dir(spark))
