@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockloom.operators import forecast, stock, timeseries
 from stockloom.plans.registry import query
 from stockloom.plans.sales_queries import CATEGORIES, text_day
+from stockloom.sources import kept
 from stockloom.sources.tables import open_retail
 
 _GRID = """
@@ -28,11 +29,18 @@ _WINDOW = "WINDOW w AS (PARTITION BY product_id ORDER BY day)"
 
 
 def brand_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Dated lines with a category, and the stock, at supplier grain."""
-    retail = open_retail(spark, folder).by_supplier()
+    """Units by supplier and date with a category, and the stock. Lines meet their dates once per data set; all
+    forecasts start from the kept sums, a row per supplier and date."""
+    plain = open_retail(spark, folder)
+    retail = plain.by_supplier()
+
+    def make() -> DataFrame:
+        dated = retail.items.select("transaction_id", "product_id", "quantity").join(retail.transactions.select("transaction_id", "transaction_date"), "transaction_id")
+        return dated.groupBy("product_id", "transaction_date").agg(F.sum("quantity").alias("quantity"))
+
+    key = kept.fingerprint([plain.items, plain.transactions, plain.products], version=1)
     kinds = retail.products.select("product_id", "category")
-    dated = retail.items.join(retail.transactions, "transaction_id").join(kinds, "product_id")
-    return dated, retail.inventory
+    return kept.keep_table(spark, "brand-days", key, make).join(kinds, "product_id"), retail.inventory
 
 
 def dense(spark: SparkSession, folder: str) -> DataFrame:
