@@ -39,29 +39,32 @@ def spoilage_features(
 ) -> DataFrame:
     """One row per stocked product: how long, how fast and how steadily it sells.
 
-    One pass sums sales per product and day, a second folds the days. ``as_of`` defaults to the
-    newest sale and counts from its midnight. A product that was never sold has 0 throughout.
+    Sales are read once and laid out by product; there they are summed per day and the days folded, and a row per
+    product is stored. ``as_of`` defaults to the newest sale and counts from its midnight. A product that was
+    never sold has 0 throughout.
     """
     require_columns(sales, {"transaction_date", "product_id", "quantity"}, "sales")
     require_columns(inventory, {"product_id", "quantity"}, "inventory")
     sales = whole_number_or_zero(valid_timestamps(sales, "transaction_date"), "quantity")
     priced = "price_per_unit" in sales.columns
     price = F.col("price_per_unit") if priced else F.lit(None).cast("double")
+    lines = sales.select("product_id", "transaction_date", "quantity", price.alias("price")).repartition("product_id")
+    daily = lines.groupBy("product_id", F.to_date("transaction_date").alias("day")).agg(
+        F.sum("quantity").alias("units"), F.avg("price").alias("price"),
+        F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last"),
+    )
+    folded = cut_lineage(daily.groupBy("product_id").agg(
+        F.max("last").alias("last"), F.min("first").alias("first"), F.count(F.lit(1)).alias("days"),
+        F.sum("units").alias("units"), F.stddev_samp("units").alias("sales_consistency"), F.stddev_samp("price").alias("price_changes"),
+    ))
     if as_of is None:
-        today = sales.agg(F.max("transaction_date").alias("t")).select(F.to_date("t").cast("timestamp_ntz")).scalar()
+        today = folded.agg(F.max("last").alias("t")).select(F.to_date("t").cast("timestamp_ntz")).scalar()
     else:
         today = F.lit(as_of).cast("date").cast("timestamp_ntz")
-    daily = sales.groupBy("product_id", F.to_date("transaction_date").alias("day")).agg(
-        F.sum("quantity").alias("units"), F.avg(price).alias("price"),
-        F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last"),
-    )
-    sold = daily.groupBy("product_id").agg(
-        days_between(F.max("last").cast("timestamp_ntz"), today).alias("days_since_last_transaction"),
-        (F.sum("units") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("sales_velocity"),
-        F.stddev_samp("units").alias("sales_consistency"),
-        F.sum("units").alias("units"),
-        days_between(F.min("first").cast("timestamp_ntz"), today).alias("inventory_age"),
-        F.stddev_samp("price").alias("price_changes"),
+    sold = folded.select(
+        "product_id", days_between(F.col("last").cast("timestamp_ntz"), today).alias("days_since_last_transaction"),
+        (F.col("units") / F.greatest("days", F.lit(1))).alias("sales_velocity"), "sales_consistency", "units",
+        days_between(F.col("first").cast("timestamp_ntz"), today).alias("inventory_age"), "price_changes",
     )
     stock = one_stock_row(inventory).withColumnRenamed("quantity", "current_inventory")
     rows = stock.join(sold, "product_id", "left").withColumn(

@@ -52,10 +52,10 @@ def forecast_low_stock(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def product_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of all stocked products, made once per data set."""
     retail = open_retail(spark, folder)
-    return spoilage.spoilage_features(
-        sold_lines(spark, folder), retail.inventory, retail.products, CATEGORIES
-    )
+    make = lambda: spoilage.spoilage_features(sold_lines(spark, folder), retail.inventory, retail.products, CATEGORIES)
+    return kept.keep_table(spark, "product-features", _key(retail, version=1), make)
 
 
 _FEATURE_SQL = """
@@ -85,7 +85,7 @@ def spoilage_features(spark: SparkSession, folder: str) -> DataFrame:
 def scored(spark: SparkSession, folder: str) -> spoilage.Scored:
     """The isolation forest and what it says of all products, made once per data set."""
     key = _key(open_retail(spark, folder), contamination=CONTAMINATION, version=1)
-    make = lambda: spoilage.Scored(*spoilage.IsolationForest.fit_predict(cut_lineage(product_features(spark, folder)), contamination=CONTAMINATION))
+    make = lambda: spoilage.Scored(*spoilage.IsolationForest.fit_predict(product_features(spark, folder), contamination=CONTAMINATION))
     return kept.keep(spark, "spoilage", key, spoilage.Scored.load, make)
 
 
@@ -103,7 +103,7 @@ def top_anomalies(spark: SparkSession, folder: str) -> DataFrame:
 def spoilt_items(spark: SparkSession, folder: str) -> DataFrame:
     retail = open_retail(spark, folder)
     found = scored(spark, folder)
-    rows = cut_lineage(product_features(spark, folder))
+    rows = product_features(spark, folder)
     return spoilage.spoilt_items(found.forest, rows, retail.inventory, retail.products, predictions=found.predictions)
 
 
