@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import graph, recommend, similarity, spoilage
+from stockloom.operators import close, graph, recommend, similarity, spoilage
 from stockloom.plans import series_queries
 
 
@@ -36,6 +39,48 @@ def test_classes_of_products_lose_no_close_pair(spark):
     assert told == every and len(every) > 3
 
 
+@pytest.mark.parametrize("most", [1000, 3])
+def test_copies_are_in_all_pairs_of_close_texts(spark, most):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(["red", "apple", "pie", "stone"], k=rng.randint(1, 6)))) for i in range(70)]
+    texts = spark.createDataFrame(texts + [(70, "the"), (71, None), (72, "alone"), (None, "red")], "id long, text string")
+    cosines = similarity.cosine_pairs(similarity.tfidf(texts).filter("id is not null")).collect()
+    every = sorted((r["product_id"], r["other_id"], r["similarity"]) for r in cosines if r["product_id"] < r["other_id"] and r["similarity"] >= 0.8)
+    classes = similarity.similar_classes(texts, 0.8, common_words=2, max_vectors=9)
+    found = similarity.every_pair(classes, most)
+    assert sorted((r["id"], r["other_id"], r["similarity"]) for r in found.filter("kind = 'pair'").collect()) == every
+    rows = lambda df: sorted((r["id"], r["other_id"]) for r in df.filter("kind = 'member'").collect())
+    assert rows(found) == rows(classes) and [b for _, b in sorted(rows(found), key=lambda x: x[1])] == [*range(70), 72]
+    assert classes.filter("kind = 'pair'").count() < len(every)
+
+
+def test_blocks_of_vectors_are_not_shuffled(spark, capsys):
+    texts = spark.createDataFrame([(i, f"alpha beta w{i % 9} w{i % 7}") for i in range(60)], "id long, text string")
+    found = similarity.similar_pairs(similarity.tfidf(texts), 0.8, 10)
+    found.explain("formatted")
+    assert "Exchange" not in capsys.readouterr().out  # pairs were stored block by block
+    assert found.count() == found.distinct().count() > 0
+
+
+@pytest.mark.parametrize(("common", "rows", "most"), [(512, 64, 2_000_000), (3, 2, 10), (40, 5, 100)])
+def test_bounds_lose_no_close_pair(monkeypatch, common, rows, most):
+    for name, value in (("COMMON", common), ("ROWS", rows), ("MOST", most)):
+        monkeypatch.setattr(close, name, value)
+    rng = np.random.default_rng(3)
+    weights = rng.random((60, 40)) * (rng.random((60, 40)) < rng.random((60, 1))) * rng.random(40) ** 3
+    weights = np.concatenate([weights, weights[:20] * rng.uniform(0.6, 1.4, (20, 40))])
+    weights = weights[(weights > 0).any(1)]
+    weights /= np.sqrt((weights**2).sum(1, keepdims=True))
+    side = lambda at: close.vectors(pa.array(at), *(pa.array([list(x) for x in y]) for y in ([np.flatnonzero(weights[k]) for k in at], [weights[k][weights[k] > 0] for k in at])), 40, 0, None)
+    cosines = np.rint(weights @ weights.T * 1e9) / 1e9
+    own, block = np.arange(len(weights) - 20), np.arange(len(weights) - 20, len(weights))
+    for threshold in (0.2, 0.8, 0.95):
+        x, y, similarity = close.close_pairs(side(own), side(block), threshold)
+        want = cosines[np.ix_(own, block)] >= threshold
+        assert sorted(zip(x.tolist(), y.tolist())) == [tuple(p) for p in np.argwhere(want).tolist()]
+        assert np.allclose(similarity, cosines[own[x], block[y]], atol=2e-9, rtol=0) and len(x)
+
+
 def test_words_that_are_not_broadcast_weigh_the_same(spark):
     texts = spark.createDataFrame([(i, f"alpha beta w{i} w{i % 3}") for i in range(30)] + [(None, "alpha")], "id long, text string")
     terms = similarity.count_terms(texts)
