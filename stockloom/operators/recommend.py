@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stockloom.functions.skew import big_keys, hot_join, shuffle_tasks
@@ -87,8 +92,9 @@ def for_baskets(
     product and a mark of its own, so that one grouped sum replaces an anti-join. Offers of few products
     (``few_products``) are small enough to be broadcast: lines are laid out by transaction first, and offers, ten times as
     many, need no shuffle. Of more products a line fetches its offers as arrays (the lines of a best seller are dealt
-    over several tasks), and rows of arrays are laid out by transaction before they unfold. Only with
-    a transaction too big for a task the sums are spread by product as well.
+    over several tasks), and rows of arrays are laid out by transaction. There a basket is one row of arrays, which are
+    summed and ranked many baskets at a time: no offer is a row of Spark's own. Only with
+    a transaction too big for a task offers unfold to rows, and the sums are spread by product as well.
     """
     held = lines.select("transaction_id", "product_id")
     tasks = shuffle_tasks(lines.sparkSession)
@@ -102,6 +108,18 @@ def for_baskets(
     fetched = hot_join(held, offers, ["product_id"], sizes, ["transaction_id"], "left")
     if whole and sizes.count() > few_products:
         fetched = fetched.repartition(tasks, "transaction_id")
+    if whole:
+        kinds = [collab.schema["product_id"].dataType.simpleString(), held.schema["transaction_id"].dataType.simpleString()]
+        baskets = fetched.filter("product_id is not null").groupBy("transaction_id").agg(
+            F.collect_list(F.col("product_id").cast(kinds[0])).alias("own"), F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("scores")).alias("scores"),
+        )
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 5000):
+                    yield _best_offers(batch.slice(low, 5000), top_n)
+
+        return baskets.mapInArrow(best, f"transaction_id {kinds[1]}, product_id {kinds[0]}, score double, position int")
     offered = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(x["ids"].alias("product_id"), x["scores"].alias("score"), F.lit(False).alias("own")))
     own = F.array(F.struct("product_id", F.lit(0.0).alias("score"), F.lit(True).alias("own")))
     scored = (
@@ -113,6 +131,33 @@ def for_baskets(
     return _best(scored, "transaction_id", "score", top_n)
 
 
+def _best_offers(baskets: pa.RecordBatch, top_n: int) -> pa.RecordBatch:
+    """Per basket (own, ids, scores) the products of greatest summed score but its own, as ``_best`` orders them."""
+    lists = [baskets.column(c) for c in ("own", "ids")]
+    products = pa.concat_arrays([x.flatten() for x in lists])
+    basket = np.concatenate([np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x in lists])
+    n = len(lists[0].flatten())
+    scores = np.concatenate([np.zeros(n), baskets.column("scores").flatten().to_numpy(zero_copy_only=False)])
+    ranks = products if pa.types.is_integer(products.type) else pc.rank(products, tiebreaker="dense")
+    ranks = ranks.to_numpy(zero_copy_only=False).astype(np.int64)
+    low, span = (int(ranks.min()), int(ranks.max()) - int(ranks.min()) + 1) if len(ranks) else (0, 1)
+    if span * len(lists[0]) >= 1 << 62:
+        ranks, low, span = np.unique(ranks, return_inverse=True)[1], 0, len(ranks)
+    key = basket * span + (ranks - low)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    basket, total = basket[order][first], np.add.reduceat(scores[order], first)
+    new = ~np.logical_or.reduceat(order < n, first)
+    at, basket, total = order[first][new], basket[new], total[new]
+    order = np.lexsort((-np.rint(total * 1e12), basket))  # products of a basket are in order, so ties go to the smaller id
+    starts = np.flatnonzero(np.diff(basket, prepend=-1))  # each basket's rows stay where they were
+    position = np.arange(len(basket)) - np.repeat(starts, np.diff(starts, append=len(basket))) + 1
+    best = position <= top_n
+    kept = order[best]
+    columns = [baskets.column("transaction_id").take(pa.array(basket[best])), products.take(pa.array(at[kept])), pa.array(total[kept]), pa.array(position[best], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["transaction_id", "product_id", "score", "position"])
+
+
 def by_category(ranks: DataFrame, products: DataFrame, top_n: int = 5) -> DataFrame:
     """Per category the products of highest rank."""
     return _best(with_product_info(ranks, products), "category", "rank", top_n)

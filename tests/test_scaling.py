@@ -114,6 +114,20 @@ def test_offers_laid_out_after_they_are_fetched_are_the_same(spark):
     assert few == many and few
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_offers_summed_in_arrays_equal_those_summed_in_rows(spark, capsys, kind):
+    rng = random.Random(8)
+    items = [(rng.choice([None, *range(40)]), rng.choice([None, *range(9), 2**62, -(2**62)])) for _ in range(150)] + [(90, None), (91, 777)]
+    items = spark.createDataFrame(items, "transaction_id long, product_id long").withColumn("product_id", F.col("product_id").cast(kind))
+    pairs = [(a, b, rng.choice([0.25, 0.5, 1.0])) for a in (*range(9), 2**62) for b in (*range(9), 2**62, -(2**62)) if a != b]
+    collab = spark.createDataFrame(pairs, "for_product long, product_id long, score double").withColumns({c: F.col(c).cast(kind) for c in ("for_product", "product_id")})
+    found = recommend.for_baskets(items, collab, 3)
+    key = lambda df: sorted((str(r["transaction_id"]), r["position"], r["product_id"], round(r["score"], 12)) for r in df.collect())
+    assert key(found) == key(recommend.for_baskets(items, collab, 3, max_basket=1)) and found.count() > 100
+    found.explain("formatted")
+    assert "Window" not in capsys.readouterr().out  # offers are not sorted as rows
+
+
 def test_forecasts_read_the_lines_once(spark, capsys):
     dated, _ = series_queries.brand_sales(spark, "/root/testdata/sf0.001")
     dated.explain("formatted")
